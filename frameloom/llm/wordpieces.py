@@ -6,6 +6,8 @@ Only valid for tokenizers that drop white space and never join text across it, s
 from __future__ import annotations
 
 import json
+import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +15,55 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import text_slices
+from .textvec import raw
 
 _LOADED: dict[str, "WordPieces"] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if printable Latin-1, else the next from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in own else next(spare)) for b in range(256)]
+
+
+_LETTER = _byte_letters()
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ENDING = np.zeros(256, bool)
+_ENDING[[44, 46]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """ASCII letters in lower case, and a blank before a single comma or full stop that ends a word: the same ids, far fewer distinct chunks."""
+    data, off = raw(texts)
+    if not len(data):
+        return texts
+    data = _LOWER[data]
+    after = np.concatenate([_SPACE[data[1:]], [True]])
+    after[off[1:][off[1:] > 0] - 1] = True
+    at = np.flatnonzero(_ENDING[data[1:]] & _ALNUM[data[:-1]] & after[1:]) + 1
+    at = at[~np.isin(at, off[1:-1])]  # a comma that starts a text ends no word
+    out = np.insert(data, at, 32)
+    off = off + np.searchsorted(at, off, side="left")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(out))
+
+
 class WordPieces:
     """Encoder with a bounded store of chunks; holds no text and gives the same ids as the tokenizer itself."""
 
-    def __init__(self, path: str, most_chunks: int = 400_000):
+    def __init__(self, path: str, most_chunks: int = 450_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_chunks
+        self.model = self.tokenizer.model
         self.check(path)
         self.clear()
 
@@ -39,8 +79,25 @@ class WordPieces:
         self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        """A chunk of lower-case Latin letters is one pre-token that no normaliser changes, so the model can have it at once."""
+        out: list = [None] * len(chunks)
+        rest = []
+        for k, x in enumerate(chunks):
+            if x.isascii():
+                if x.isalpha() and x.islower():
+                    out[k] = [t.id for t in self.model.tokenize(x)]
+                    continue
+            elif x.isalpha() and max(x) < "\u0180" and x == x.lower() and unicodedata.is_normalized("NFC", x):
+                out[k] = [t.id for t in self.model.tokenize("".join([_LETTER[b] for b in x.encode()]))]
+                continue
+            rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
     def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        found = self._ids(chunks)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total, first = int(sizes.sum()), len(self.known)
         while self.used + total > len(self.flat):
@@ -55,6 +112,8 @@ class WordPieces:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no marks of special tokens, whose case counts
+            texts = _plain(texts)
         lists = pc.ascii_split_whitespace(texts)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         chunks = lists.flatten().dictionary_encode()
@@ -83,7 +142,7 @@ def word_pieces(path: str) -> WordPieces:
 def documents_of_ids(path: str, batch: pa.RecordBatch, text: str, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and ids, closed by end_id, of each whole text of a batch."""
     encoder = word_pieces(path)
-    for lo, _, texts in text_slices(batch.column(text)):
+    for lo, _, texts in text_slices(batch.column(text), 4 << 20):
         ids, counts = encoder.encode(texts)
         at = 0
         for k, n in enumerate(counts.tolist()):

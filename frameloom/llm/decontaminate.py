@@ -87,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
         wanted = F.broadcast(wanted)
     both = full(rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "item_id", _words(F.col("text")).alias("words")), "doc_id", "item_id")
     of_item = full(items, "item_id").select(F.col("item_id").alias("i"), F.col("words").alias("own"), F.col("code").alias("own_code"), F.col("keys").alias("own_keys"))
-    both = both.join(of_item, F.col("item_id") == F.col("i")).withColumn("row", F.monotonically_increasing_id())
+    both = both.join(of_item, F.col("item_id") == F.col("i"))
     distinct = F.array_distinct("own_keys")
     both = both.withColumn("n_windows", F.size(distinct).cast("long")).withColumn("n_matched", F.size(F.array_intersect(distinct, F.col("keys"))).cast("long"))
     both = both.where(F.col("n_matched") >= F.ceil(F.col("n_windows") * threshold))
@@ -101,17 +101,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
             ),
         )
     )
-    both = checkpoint(both.select("row", "doc_id", "item_id", "n_windows", "n_matched", F.array_distinct(slots).alias("slots")))
-    cells = both.select("row", F.explode("slots").alias("s")).groupBy("row", F.col("s.item").alias("item"), F.col("s.doc").alias("doc")).agg(F.count("*").alias("n"))
+    out = both.select("doc_id", "item_id", "n_windows", "n_matched", F.array_distinct(slots).alias("slots"))
+    out = out.withColumn("cells", F.transform("slots", lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc"))))
+    out = out.withColumn("cells", F.transform(F.array_distinct("cells"), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc"), F.size(F.filter("cells", lambda x: x == c)).alias("n"))))
 
-    def agreeing(side: str, name: str) -> DataFrame:
-        most = cells.groupBy("row", side).agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.min(F.col("item") == F.col("doc")).alias("same"))
-        return most.groupBy("row").agg(F.sum("most").alias(name), F.sum("n").alias(f"n_{side}"), F.min("same").alias(f"same_{side}"))
+    def agreeing(side: str) -> Column:
+        """Slots that hold the value that goes with theirs most often."""
+        most = lambda v: F.array_max(F.transform(F.filter("cells", lambda c: c[side] == v), lambda c: c["n"]))
+        return F.aggregate(F.array_distinct(F.transform("cells", lambda c: c[side])), F.lit(0), lambda total, v: total + most(v))
 
-    out = both.drop("slots").join(agreeing("item", "by_item"), "row", "left").join(agreeing("doc", "by_doc"), "row", "left")
-    n = F.coalesce("n_item", F.lit(0)).cast("long")
-    agree = F.coalesce(F.least("by_item", "by_doc"), F.lit(0)).cast("long")
-    out = out.select("doc_id", "item_id", "n_windows", "n_matched", n.alias("n_slots"), agree.alias("n_agreeing"), F.coalesce("same_item", F.lit(True)).alias("verbatim"))
+    same = F.forall("cells", lambda c: c["item"] == c["doc"])
+    out = out.select("doc_id", "item_id", "n_windows", "n_matched", F.size("slots").cast("long").alias("n_slots"), F.least(agreeing("item"), agreeing("doc")).cast("long").alias("n_agreeing"), same.alias("verbatim"))
     out = out.where(F.col("n_agreeing") >= F.ceil(F.col("n_slots") * threshold))
     best = F.max(F.struct("n_matched", "n_agreeing", "n_windows", "n_slots", "verbatim")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.n_slots", "b.n_agreeing", "b.verbatim")

@@ -149,14 +149,15 @@ def _measured(pairs: DataFrame, store: DataFrame) -> DataFrame:
     return checkpoint(pairs.join(b, "b").join(a, "a").mapInArrow(_distances, "a long, b long, distance double"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, star_rounds: int = 3, most_broadcast: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, most_broadcast: int = 200_000) -> DataFrame:
     """Classes of near-duplicate documents: doc_id, text_class (smallest id with the same text), class_id (smallest id reachable by links), kept.
 
     Links join two texts whose probability Jaccard similarity of five-word shingles (words are cut at ASCII white space, case
     counts) is `threshold` or more, found through shared bands and verified exactly. Equal texts are one class before any
-    comparison, so no group of copies is expanded. In a band bucket all members are compared with one hub; texts that this
-    leaves in other components are compared with further hubs and in the end with every member of the bucket that the triangle
-    inequality doesn't rule out (1 - similarity is a metric), so that within a bucket no link between components is missed.
+    comparison, so no group of copies is expanded. In a band bucket all members are compared with two hubs; texts that this
+    leaves in other components are compared with every member of the bucket that the triangle inequality doesn't rule out
+    (1 - similarity is a metric), so that within a bucket no link between components is missed. Should that be many pairs
+    for the number of members, further hubs come first.
 
     Null, empty and blank texts have no shingles and link with nothing (they are their own class); texts under five words are
     one shingle. Rows with a null doc_id take part, and their class is the smallest id other than null. Repeated rows are
@@ -172,9 +173,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, star_rounds: int =
         .withColumn("uid", F.monotonically_increasing_id())
     )
     rows = classes.select("uid", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = rows.groupBy("bucket").agg(F.min("uid").alias("hub"), F.max("uid").alias("last")).where("hub < last")
     members = checkpoint(rows.join(buckets, "bucket"))
-    links, component = _links(docs, classes, members, threshold, star_rounds, most_broadcast)
+    component = _links(docs, classes, members, threshold, most_broadcast)
     smallest = component.join(classes.select("uid", "rep"), component.node == F.col("uid"))
     smallest = smallest.join(smallest.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("uid", "class_id")
     named = classes.select("uid", "key", "rep").join(smallest, "uid", "left").select(F.col("key").alias("k"), "rep", F.coalesce("class_id", "rep").alias("class"))
@@ -184,8 +185,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, star_rounds: int =
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _links(docs, classes, members, threshold, star_rounds, most_broadcast):
-    spark, far = docs.sparkSession, 1 - threshold + 1e-9
+def _links(docs, classes, members, threshold, most_broadcast):
+    far = 1 - threshold + 1e-9
     candidates = checkpoint(members.select("uid").distinct().join(classes.drop("bands"), "uid"))
     wanted = candidates.select("uid", F.col("key").alias("k"), F.col("rep").alias("r"))
     if candidates.count() <= most_broadcast:
@@ -194,45 +195,46 @@ def _links(docs, classes, members, threshold, star_rounds, most_broadcast):
     once = found.groupBy("uid").agg(F.first("text").alias("text"))  # repeated rows have the same id and text
     store = checkpoint(once.mapInArrow(_elements, "uid long, elements binary, weights binary"))
 
-    pairs = members.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-    known = _measured(pairs, store)
-    component = connected_components(known.where(F.col("distance") <= far).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    def open_members(component: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component, and the last member of the last component."""
-        m = members.join(component, members.uid == component.node, "left").select("bucket", "hub", "uid", F.coalesce("component", "uid").alias("component"))
-        last = m.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.struct("component", "uid")).alias("last")).where("c0 <> c1")
-        return checkpoint(m.join(last.select("bucket", F.col("last.uid").alias("next"), F.col("last.component").alias("of")), "bucket"))
-
-    def unknown(pairs: DataFrame) -> DataFrame:
+    def components(known: DataFrame) -> DataFrame:
+        return connected_components(known.where(F.col("distance") <= far).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    pairs = members.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("uid").alias("b")), F.struct(F.col("uid").alias("a"), F.col("last").alias("b")))).alias("p"))
+    known = _measured(pairs.select("p.*").where("a < b").distinct(), store)
+    component = components(known)
+    stuck = False
+    while True:
+        m = members.drop("last").join(component, members.uid == component.node, "left").select("bucket", "hub", "uid", F.coalesce("component", "uid").alias("component"))
+        main = F.max(F.when(F.col("uid") == F.col("hub"), F.col("component"))).alias("main")
+        torn = m.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), main).where("c0 < c1")
+        m = checkpoint(m.join(torn.select("bucket", "main"), "bucket"))
+        work = m.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("off"), F.max(F.when(F.col("component") != F.col("main"), F.col("uid"))).alias("next"))
+        cost = work.agg(F.count("*").alias("buckets"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("off")).alias("pairs")).first()
+        if not cost["buckets"]:
+            return component
+        last = stuck or cost["pairs"] <= 50 * cost["n"]
+        stuck = True  # unless this round's hub links something
+        if last:
+            d = known.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "distance")
+            m = m.join(d, ["hub", "uid"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))).withColumn("slot", F.floor(F.col("distance") / far))
+            x = m.where("component <> main").select("bucket", F.col("uid").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"), F.explode(F.array(*(F.col("slot") + k for k in (-1, 0, 1)))).alias("slot"))
+            y = m.select("bucket", "slot", F.col("uid").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db"), "main")
+            pairs = x.join(y, ["bucket", "slot"]).where((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
+        else:  # one more hub for each torn bucket, outside of its main component
+            of = m.select("bucket", F.col("uid").alias("next"), F.col("component").alias("of"))
+            hubs = work.select("bucket", "next").join(of, ["bucket", "next"])
+            pairs = m.join(hubs, "bucket").where("component <> of").select(F.col("next").alias("a"), F.col("uid").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return checkpoint(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-
-    def more(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        measured = _measured(pairs, store)
-        old = component.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-        new = measured.where(F.col("distance") <= far).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        return known.union(measured), (component if new.isEmpty() else connected_components(old.union(new)))
-
-    for _ in range(star_rounds):
-        m = open_members(component)
-        pairs = unknown(m.where("component <> of").select(F.col("next").alias("a"), F.col("uid").alias("b")))
-        if pairs.isEmpty():
-            break
-        known, component = more(pairs)
-    m = open_members(component)
-    if not m.isEmpty():
-        d = known.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "distance")
-        m = m.join(d, ["hub", "uid"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-        main = m.where("uid = hub").select("bucket", F.col("component").alias("main"))
-        m = checkpoint(m.join(main, "bucket").withColumn("slot", F.floor(F.col("distance") / far)))
-        x = m.where("component <> main").select("bucket", F.col("uid").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"), F.explode(F.array(*(F.col("slot") + k for k in (-1, 0, 1)))).alias("slot"))
-        y = m.select("bucket", "slot", F.col("uid").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db"), "main")
-        both = x.join(y, ["bucket", "slot"]).where((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        pairs = unknown(both.select("a", "b"))
+        pairs = checkpoint(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            known, component = more(pairs)
-    return known, component
+            new = _measured(pairs, store)
+            linked = new.where(F.col("distance") <= far)
+            if not linked.isEmpty():
+                stars = component.select(F.col("component").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("distance"))
+                component = components(stars.union(linked))
+                stuck = False
+            known = known.union(new)
+        if last:
+            return component
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, most_broadcast: int = 200_000) -> DataFrame:

@@ -9,6 +9,7 @@ Two texts agree in a register with probability sum over shared d of 1 / sum over
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -154,10 +155,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, most_broadcast: int
 
     Links join two texts whose probability Jaccard similarity of five-word shingles (words are cut at ASCII white space, case
     counts) is `threshold` or more, found through shared bands and verified exactly. Equal texts are one class before any
-    comparison, so no group of copies is expanded. In a band bucket all members are compared with two hubs; texts that this
-    leaves in other components are compared with every member of the bucket that the triangle inequality doesn't rule out
-    (1 - similarity is a metric), so that within a bucket no link between components is missed. Should that be many pairs
-    for the number of members, further hubs come first.
+    comparison, so no group of copies is expanded. In a band bucket all members are compared with two hubs; where that leaves
+    more than one component, the members of other components are compared too: in small buckets as pairs, in large ones in
+    blocks, those outside of the largest component against all that the triangle inequality doesn't rule out (1 - similarity
+    is a metric). So within a bucket no link between components is missed, and links within one aren't enumerated.
 
     Null, empty and blank texts have no shingles and link with nothing (they are their own class); texts under five words are
     one shingle. Rows with a null doc_id take part, and their class is the smallest id other than null. Repeated rows are
@@ -201,40 +202,100 @@ def _links(docs, classes, members, threshold, most_broadcast):
     pairs = members.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("uid").alias("b")), F.struct(F.col("uid").alias("a"), F.col("last").alias("b")))).alias("p"))
     known = _measured(pairs.select("p.*").where("a < b").distinct(), store)
     component = components(known)
-    stuck = False
+    m = members.join(component, members.uid == component.node, "left").select("bucket", "hub", "uid", F.coalesce("component", "uid").alias("component"))
+    torn = m.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
+    m = checkpoint(m.join(torn.select("bucket", "n"), "bucket"))
+    a = m.where(F.col("n") <= SMALL).select("bucket", F.col("uid").alias("a"), F.col("component").alias("ca"))
+    b = a.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"))
+    pairs = a.join(b, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+    pairs = checkpoint(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    links = [] if pairs.isEmpty() else [_measured(pairs, store).where(F.col("distance") <= far).select("a", "b")]
+    large = m.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        links.append(_block_links(large, known, store, far))
+    links = [x for x in links if not x.isEmpty()]
+    if not links:
+        return component
+    stars = component.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return components(reduce(DataFrame.union, links, stars).withColumn("distance", F.lit(0.0)))
+
+
+#: Buckets of up to so many texts are compared as pairs, larger ones in blocks of at most BLOCK texts and BLOCK_BYTES.
+SMALL, BLOCK, BLOCK_BYTES = 64, 128, 4 << 20
+
+
+def _block_links(large: DataFrame, known: DataFrame, store: DataFrame, far: float) -> DataFrame:
+    """Links between components of large buckets. Buckets with the same hub are one group, whose texts are cut into blocks by
+    their distance to the hub; only blocks of texts outside of the group's largest component are compared with others."""
+    d = known.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "distance")
+    group = large.select("hub", "uid", "component").distinct().join(d, ["hub", "uid"], "left")
+    group = checkpoint(group.select("hub", "uid", "component", F.floor(F.coalesce("distance", F.lit(0.0)) * 20).alias("bin")))
+    main = group.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = group.join(main, "hub").join(store, "uid").withColumn("off", F.col("component") != F.col("main"))
+    place = ["hub", "off", "bin"]
+    sizes = rows.groupBy(*place).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("elements")) / BLOCK_BYTES)).alias("parts"))
+    rows = rows.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    blocks = checkpoint(rows.groupBy(*place, "part").agg(F.collect_list(F.struct("uid", "component", "elements", "weights")).alias("rows")))
+    names = blocks.select(F.concat_ws("/", *place, "part").alias("block"), *place)
+    a, b = (names.select(*(F.col(c).alias(f"{c}_{s}") for c in names.columns)) for s in "ab")
+    pairs = a.where("off_a").join(b, F.col("hub_a") == F.col("hub_b"))
+    pairs = pairs.where((~F.col("off_b") | (F.col("block_a") <= F.col("block_b"))) & (F.abs(F.col("bin_a") - F.col("bin_b")) <= int(far * 20) + 1)).select("block_a", "block_b")
+    side = lambda s: blocks.select(F.concat_ws("/", *place, "part").alias(f"block_{s}"), F.col("rows").alias(f"rows_{s}"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("rows_a"), batch.column("rows_b"), strict=True):
+                a, b = linked_texts(_texts(x), _texts(y), 1 - far)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return checkpoint(pairs.join(side("a"), "block_a").join(side("b"), "block_b").mapInArrow(compare, "a long, b long").distinct())
+
+
+def _texts(rows: pa.ListScalar) -> dict:
+    v = rows.values
+    return {c: v.field(c).to_numpy(zero_copy_only=False) for c in ("uid", "component")} | {
+        "elements": [np.frombuffer(x, U64) for x in v.field("elements").to_pylist()],
+        "weights": [np.frombuffer(x, np.int32) if x else None for x in v.field("weights").to_pylist()],
+    }
+
+
+def linked_texts(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between texts of two blocks and different components: enough of them that they join what all of them join."""
+    ea, eb = (np.concatenate(x["elements"]) for x in (a, b))
+    shared = np.intersect1d(ea, eb)
+    na, nb = (np.array([len(e) for e in x["elements"]]) for x in (a, b))
+    common = np.zeros((len(na), len(nb)), np.float32)
+    sides = []
+    for e, n in ((ea, na), (eb, nb)):
+        at = np.minimum(np.searchsorted(shared, e), max(len(shared) - 1, 0))
+        hit = shared[at] == e if len(shared) else np.zeros(len(e), bool)
+        sides.append((np.repeat(np.arange(len(n)), n)[hit], at[hit]))
+    for lo in range(0, len(shared), 4096):  # a few thousand shared elements at a time, as dense columns
+        parts = []
+        for (row, at), n in zip(sides, (na, nb), strict=True):
+            use = (at >= lo) & (at < lo + 4096)
+            x = np.zeros((len(n), min(4096, len(shared) - lo)), np.float32)
+            x[row[use], at[use] - lo] = 1
+            parts.append(x)
+        common += parts[0] @ parts[1].T
+    link = common / (na[:, None] + nb[None] - common) >= threshold - 1e-6
+    for side, other in ((0, 1), (1, 0)):  # weights change the similarity: exact by pair where there is any overlap
+        for i in [k for k, w in enumerate((a, b)[side]["weights"]) if w is not None]:
+            for j in np.flatnonzero((common if side == 0 else common.T)[i]):
+                x, y = (i, j) if side == 0 else (j, i)
+                wa, wb = (s["weights"][k] if s["weights"][k] is not None else np.ones(len(s["elements"][k]), np.int32) for s, k in ((a, x), (b, y)))
+                link[x, y] = similarity(a["elements"][x], wa, b["elements"][y], wb) >= threshold
+    link &= a["component"][:, None] != b["component"][None]
+    label_a, label_b = a["component"].copy(), b["component"].copy()
+    top = np.iinfo(np.int64).max
     while True:
-        m = members.drop("last").join(component, members.uid == component.node, "left").select("bucket", "hub", "uid", F.coalesce("component", "uid").alias("component"))
-        main = F.max(F.when(F.col("uid") == F.col("hub"), F.col("component"))).alias("main")
-        torn = m.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), main).where("c0 < c1")
-        m = checkpoint(m.join(torn.select("bucket", "main"), "bucket"))
-        work = m.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("off"), F.max(F.when(F.col("component") != F.col("main"), F.col("uid"))).alias("next"))
-        cost = work.agg(F.count("*").alias("buckets"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("off")).alias("pairs")).first()
-        if not cost["buckets"]:
-            return component
-        last = stuck or cost["pairs"] <= 50 * cost["n"]
-        stuck = True  # unless this round's hub links something
-        if last:
-            d = known.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "distance")
-            m = m.join(d, ["hub", "uid"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))).withColumn("slot", F.floor(F.col("distance") / far))
-            x = m.where("component <> main").select("bucket", F.col("uid").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"), F.explode(F.array(*(F.col("slot") + k for k in (-1, 0, 1)))).alias("slot"))
-            y = m.select("bucket", "slot", F.col("uid").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db"), "main")
-            pairs = x.join(y, ["bucket", "slot"]).where((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        else:  # one more hub for each torn bucket, outside of its main component
-            of = m.select("bucket", F.col("uid").alias("next"), F.col("component").alias("of"))
-            hubs = work.select("bucket", "next").join(of, ["bucket", "next"])
-            pairs = m.join(hubs, "bucket").where("component <> of").select(F.col("next").alias("a"), F.col("uid").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = checkpoint(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            new = _measured(pairs, store)
-            linked = new.where(F.col("distance") <= far)
-            if not linked.isEmpty():
-                stars = component.select(F.col("component").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("distance"))
-                component = components(stars.union(linked))
-                stuck = False
-            known = known.union(new)
-        if last:
-            return component
+        new_b = np.minimum(label_b, np.where(link, label_a[:, None], top).min(0))
+        new_a = np.minimum(label_a, np.where(link, new_b[None], top).min(1))
+        if (new_a == label_a).all() and (new_b == label_b).all():
+            break
+        label_a, label_b = new_a, new_b
+    moved = [(x["component"][now != x["component"]], now[now != x["component"]]) for x, now in ((a, label_a), (b, label_b))]
+    return np.concatenate([m[0] for m in moved]), np.concatenate([m[1] for m in moved])
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, most_broadcast: int = 200_000) -> DataFrame:

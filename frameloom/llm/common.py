@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Limits the rows of an Arrow batch in this session, as whole texts travel in them: both the JVM and Python hold some at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -48,15 +57,29 @@ def row_slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def text_array(column: pa.Array) -> pa.Array:
     """A string column without nulls (null: empty) and with 64-bit offsets."""
-    if pa.types.is_null(column.type):
-        column = column.cast(pa.large_string())
     return column.cast(pa.large_string()).fill_null("")
 
 
 def text_slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, pa.Array]]:
     """Runs of whole texts of about `most` bytes: bounded memory whatever the batch holds."""
-    import pyarrow.compute as pc
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in row_slices(lengths, most):
+        yield lo, hi, text_array(column.slice(lo, hi - lo))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back when its task ends, as Python workers live on."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
 
-    texts = text_array(column)
-    for lo, hi in row_slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), most):
-        yield lo, hi, texts.slice(lo, hi - lo)
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

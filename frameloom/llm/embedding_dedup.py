@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 from .graph import connected_components
 
 SUBSPACES, CODES = 8, 64
@@ -148,7 +148,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                     names=["uid", "copies", "grp", "cell", "core", "rho", "bin", "left", "codes", "unit"],
                 )
 
-    indexed = checkpoint(distinct.select("uid", "copies", "label", "embedding").mapInArrow(assign, "uid long, copies long, grp string, cell int, core boolean, rho double, bin int, left double, codes binary, unit binary"))
+    indexed = checkpoint(distinct.select("uid", "copies", "label", "embedding").mapInArrow(tidy(assign), "uid long, copies long, grp string, cell int, core boolean, rho double, bin int, left double, codes binary, unit binary"))
 
     # blocks: runs of distance bins of a list, and where a single bin is too large, parts of it
     place = ["grp", "cell", "core"]
@@ -174,7 +174,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                 found = linked_blocks(index, _block(one["rows_a"], width), one["cell_a"].as_py(), _block(one["rows_b"], width), one["cell_b"].as_py(), same, threshold, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["uid", "n", "to"])
 
-    found = checkpoint(pairs.mapInArrow(compare, "uid long, n long, to long"))
+    found = checkpoint(pairs.mapInArrow(tidy(compare), "uid long, n long, to long"))
     core = indexed.where("core")
     of_core = core.groupBy("grp", "cell").agg(F.sum("copies").alias("all"), F.min("uid").alias("to"))
     core = checkpoint(core.select("uid", "copies", "grp", "cell").join(of_core, ["grp", "cell"]).select("uid", (F.col("all") - F.col("copies")).alias("n"), "to"))

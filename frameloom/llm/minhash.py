@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_slices
+from .common import checkpoint, small_batches, text_slices, tidy
 from .graph import connected_components
 from .textvec import U64, mix, shingles
 
@@ -147,7 +147,7 @@ def _measured(pairs: DataFrame, store: DataFrame) -> DataFrame:
     """Distance of each pair (a, b). The join on a hub's key is a plain equi-join, which adaptive execution splits."""
     b = store.select(F.col("uid").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
     a = store.select(F.col("uid").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
-    return checkpoint(pairs.join(b, "b").join(a, "a").mapInArrow(_distances, "a long, b long, distance double"))
+    return checkpoint(pairs.join(b, "b").join(a, "a").mapInArrow(tidy(_distances), "a long, b long, distance double"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, most_broadcast: int = 200_000) -> DataFrame:
@@ -164,9 +164,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, most_broadcast: int
     one shingle. Rows with a null doc_id take part, and their class is the smallest id other than null. Repeated rows are
     copies: each gets the row of its text. Other columns are ignored. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.unhex(F.md5("text")))
-    seen = checkpoint(docs.mapInArrow(_signatures, "doc_id long, key binary, n_shingles int, bands array<long>"))
+    seen = checkpoint(docs.mapInArrow(tidy(_signatures), "doc_id long, key binary, n_shingles int, bands array<long>"))
     classes = checkpoint(
         seen.where("n_shingles > 0")
         .groupBy("key")
@@ -194,7 +195,7 @@ def _links(docs, classes, members, threshold, most_broadcast):
         wanted = F.broadcast(wanted)
     found = docs.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("r")))
     once = found.groupBy("uid").agg(F.first("text").alias("text"))  # repeated rows have the same id and text
-    store = checkpoint(once.mapInArrow(_elements, "uid long, elements binary, weights binary"))
+    store = checkpoint(once.mapInArrow(tidy(_elements), "uid long, elements binary, weights binary"))
 
     def components(known: DataFrame) -> DataFrame:
         return connected_components(known.where(F.col("distance") <= far).select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -248,7 +249,7 @@ def _block_links(large: DataFrame, known: DataFrame, store: DataFrame, far: floa
                 a, b = linked_texts(_texts(x), _texts(y), 1 - far)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return checkpoint(pairs.join(side("a"), "block_a").join(side("b"), "block_b").mapInArrow(compare, "a long, b long").distinct())
+    return checkpoint(pairs.join(side("a"), "block_a").join(side("b"), "block_b").mapInArrow(tidy(compare), "a long, b long").distinct())
 
 
 def _texts(rows: pa.ListScalar) -> dict:

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-from .wordpieces import documents_of_ids
+from .common import checkpoint, small_batches, tidy
+from .wordpieces import documents_of_ids, word_pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,8 +39,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                     length.append(len(part))
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], schema=schema)
+        word_pieces(tokenizer_path).clear()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES)
 
 
 def patterns(units: int, most: int = 3) -> np.ndarray:
@@ -222,7 +224,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
             )
 
     rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return rows.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return rows.mapInArrow(tidy(place), f"{PIECES}, sequence_id long, offset long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

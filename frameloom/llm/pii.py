@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_array
+from .common import give_back, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -282,7 +282,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def _suspects(texts: pa.Array) -> list[int]:
-    return np.flatnonzero(pc.match_substring_regex(texts, "[0-9@]").to_numpy(zero_copy_only=False)).tolist()
+    return np.flatnonzero(pc.match_substring_regex(texts.cast(pa.string()), "[0-9@]").fill_null(False).to_numpy(zero_copy_only=False)).tolist()
 
 
 def train(docs: DataFrame, most: int = 2000) -> Crf:
@@ -290,7 +290,7 @@ def train(docs: DataFrame, most: int = 2000) -> Crf:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_array(batch.column("text"))
+            texts = batch.column("text")
             order, rows = [], []
             for k in _suspects(texts):
                 text = texts[k].as_py()
@@ -299,7 +299,8 @@ def train(docs: DataFrame, most: int = 2000) -> Crf:
                     rows.append(training_rows(Graph(text, base))[:500].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.string()), pa.array(rows, pa.binary())], names=["order", "rows"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "order string, rows binary")
+    small_batches(docs.sparkSession)
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "order string, rows binary")
     found = found.orderBy("order").limit(most).toArrow().column("rows").to_pylist()
     return fit(np.concatenate([np.zeros((0, 1 + N_SHAPE + 3 * N_LABELS)), *(np.frombuffer(r, np.float32).reshape(-1, 1 + N_SHAPE + 3 * N_LABELS) for r in found)]))
 
@@ -315,7 +316,7 @@ def personal_data(docs: DataFrame, most: int = 2000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            texts = text_array(batch.column("text"))
+            texts = batch.column("text")
             counts = np.zeros((5, len(texts)), np.int64)
             digest, spans = [nothing] * len(texts), [""] * len(texts)
             for k in _suspects(texts):
@@ -330,34 +331,30 @@ def personal_data(docs: DataFrame, most: int = 2000) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact_documents(docs: DataFrame, most: int = 2000) -> DataFrame:
     """docs with all spans replaced by their kind, and n_chars, if there is such a column, counted anew for texts that change."""
     crf = train(docs, most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_array(batch.column("text"))
-            changed = {}
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            changed: list[str | None] = [None] * len(texts)
             for k in _suspects(texts):
                 text = texts[k].as_py()
-                _, spans = find_spans(text, crf)
-                if spans:
+                if spans := find_spans(text, crf)[1]:
                     changed[k] = redact(text, spans)
-            columns = list(batch.columns)
-            if changed:
-                for name, new in (("text", changed), ("n_chars", {k: len(t) for k, t in changed.items()})):
-                    if name in batch.schema.names:
-                        at = batch.schema.names.index(name)
-                        mask = np.zeros(len(texts), bool)
-                        mask[list(new)] = True
-                        columns[at] = pc.replace_with_mask(columns[at], pa.array(mask), pa.array([new[k] for k in sorted(new)], columns[at].type))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, rows.schema)
+            yield pa.array(changed, pa.string())
+        give_back()
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    new = F.arrow_udf(run, "string")(F.col("text").cast("string"))  # null for a text that stays, so that few come back
+    rows = docs.withColumn("__new", new).withColumn("text", F.coalesce("__new", F.col("text").cast("string")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new").cast(kind)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 #: The cut of a pre-token is decided by at most so many characters behind its end ("'ll" and one character of look-ahead).
 CONTEXT = 3
 
@@ -168,10 +170,12 @@ def count_with_edits(docs: DataFrame, edits: str, tokenizer_path: str, pattern:
                 for c, v in zip(out, (before, len(changes), tree.tokens, pretokens, recounted), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out)], names=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_pretokens", "n_recounted"])
+        counts.clear()
 
+    small_batches(docs.sparkSession)
     kind = "array<struct<at:long,drop:long,put:string>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(edits).cast(kind).alias("edits"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_pretokens long, n_recounted long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_pretokens long, n_recounted long")
 
 
 _COUNTS: dict[tuple[str, str], Counts] = {}
@@ -193,7 +197,7 @@ def sample_edits(text):
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import read_table
+    from .common import read_table, tidy
 
     docs = read_table(spark, sf_dir, "documents").withColumn("edits", sample_edits(F.col("text")))
     return count_with_edits(docs, "edits", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

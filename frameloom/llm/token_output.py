@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .common import give_back, small_batches
 from .files import Written, drop_files, listed, make_folder, store, write_manifest
-from .wordpieces import documents_of_ids
+from .wordpieces import documents_of_ids, word_pieces
 
 SEGMENTS = pa.schema(
     [
@@ -125,6 +126,8 @@ class _Writer(DataSourceArrowWriter):
         if pieces:
             out = out or self._open(fs, path, name)
             rows += self._pack(pieces, *out)
+        word_pieces(self.tokenizer).clear()
+        give_back()
         if not out:
             return Written([])
         out[1].close()
@@ -204,6 +207,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, **options) ->
     """Writes all documents (doc_id, text; a null text is empty, other columns are ignored) as packed id matrices below path."""
     docs.sparkSession.dataSource.register(PackedTokens)
     make_folder(path)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows.write.format("packed_tokens").options(tokenizer=tokenizer_path, **options).mode("append").save(path)
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_slices
+from .common import checkpoint, give_back, small_batches, text_slices, tidy
 from .textvec import U64, hashes, raw, spans
 
 BITS = 20
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> Model:
 
     Rows with a null doc_id or label are left out; of several labels for an id the highest counts.
     """
+    small_batches(docs.sparkSession)
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     ids = ids.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
@@ -179,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> Model:
     chosen = checkpoint(chosen).select(F.col("doc_id").alias("d"), "toxic")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("toxic", "text")  # at most 2 * most_each ids
-    found = rows.mapInArrow(_training_rows, "toxic int, features binary, values binary").toArrow()
+    found = rows.mapInArrow(tidy(_training_rows), "toxic int, features binary, values binary").toArrow()
     return fit([(k, np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for k, f, v in zip(*(found.column(c).to_pylist() for c in ("toxic", "features", "values")), strict=True)])
 
 
@@ -187,19 +188,18 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """`columns` of docs (text among them, under names of their own) and the score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+def _score(spark, model: Model):
+    """A column function: the score of a whole text. Only texts go to Python, and only scores come back."""
+    shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(*shared.value)
-        for batch in batches:
-            scores = [model.score(texts) for _, _, texts in text_slices(batch.column("__text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names[:-1], "__score"])
+        for column in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *(model.score(texts) for _, _, texts in text_slices(column))]))
+        give_back()
 
-    kept = docs.select(*columns)
-    schema = kept.withColumn("__score", F.lit(0.0)).schema
-    return docs.withColumn("__text", F.col("text").cast("string")).select(*columns, "__text").mapInArrow(run, schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> DataFrame:
@@ -209,14 +209,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -
     repeated rows get equal scores; other columns are ignored. Without labels of both kinds all scores are that of the only
     kind there is (0 without any).
     """
-    out = _scored(docs, train(docs, labels, most_each), ["doc_id"])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    score = _score(docs.sparkSession, train(docs, labels, most_each))
+    out = docs.select("doc_id", score(F.col("text").cast("string")).alias("score"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> DataFrame:
     """docs without the rows whose score is 0.5 or more; all columns stay."""
-    out = _scored(docs, train(docs, labels, most_each), docs.columns)
-    return out.where("__score < 0.5").drop("__score")
+    score = _score(docs.sparkSession, train(docs, labels, most_each))
+    return docs.where(score(F.col("text").cast("string")) < 0.5)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 from .files import Written, drop_files, listed, make_folder, store, write_manifest
 
 SCHEMA = (
@@ -270,6 +270,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, most_broadcast: in
     scan to the archive, unless there are more revisits than `most_broadcast`.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.length(html).alias("n")).where(F.col("n") >= least)
     keys = keys.where("page_id is not null")

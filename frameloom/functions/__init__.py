@@ -1 +1,27 @@
-"""."""
+"""Column functions over arrays of numbers and complex values (struct<re, im>)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def power(z: Column) -> Column:
+    return z["re"] * z["re"] + z["im"] * z["im"]
+
+
+def multiply(a: Column, b: Column) -> Column:
+    return F.struct((a["re"] * b["re"] - a["im"] * b["im"]).alias("re"), (a["re"] * b["im"] + a["im"] * b["re"]).alias("im"))
+
+
+def conjugate(z: Column) -> Column:
+    return F.struct(z["re"].alias("re"), (-z["im"]).alias("im"))
+
+
+def log_add(a: Column, b: Column) -> Column:
+    """-ln(exp(-a) + exp(-b))."""
+    return F.least(a, b) - F.log1p(F.exp(-F.abs(a - b)))

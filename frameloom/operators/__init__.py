@@ -1 +1 @@
-"""."""
+"""Signal, statistics and graph operators on DataFrames."""

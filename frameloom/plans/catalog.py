@@ -1,11 +1,298 @@
-"""All queries of the signal and graph operators, by name, with the SQL that tells their results."""
+"""All queries of the signal and graph operators, by name, with the SQL that tells their results.
+
+Tables play these roles: embeddings are feature frames (vec_id: frame, label: class), events are sampled signals (user_id:
+channel, in order of ts and event_id), texts of conversations are utterances, word pairs of benchmark are graph edges.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import arrays, gaussians, graphs, metrics, temporal
+from ..operators import frames as fr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "nearest_gaussian"
+
+FRAMES = "f as (select vec_id as frame_x, label, unnest(range(len(embedding))) as k, unnest(embedding)::double as x from embeddings)"
+SAMPLES = "s as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) - 1 as n, value as x from events)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def frames(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_x"), "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def samples(spark, sf_dir) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.row_number().over(w) - 1).cast("long").alias("n"), F.col("value").alias("x"))
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    """Rounded, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
+
+
+def long(df: DataFrame, name: str = "y") -> DataFrame:
+    return df.select("frame_x", F.posexplode("v").alias("k", "x")).select("frame_x", F.col("k").cast("long").alias("k"), r("x").alias(name))
+
+
+def frame_query(name: str, op, sql_value: str, where: str = "", n: str = "") -> None:
+    """A frame-wise map whose value at k is sql_value in terms of x, k and n (the frame's length)."""
+    size = "g as (select *, count(*) over (partition by frame_x) as n from f), "
+    query(name, f"with {FRAMES}, {size}h as (select frame_x, k, n, x, {sql_value} as y from g {where}) select frame_x, k, round(y, 6) + 0.0 as y from h {n}")(lambda spark, d: long(op(frames(spark, d))))
+
+
+frame_query("hamming", fr.hamming, "x * (0.54::double - 0.46::double * cos(2 * pi() * k / (n - 1)))")
+frame_query("amplify", lambda df: fr.amplify(df, 2.5), "x * 2.5::double")
+frame_query("log_scale", lambda df: fr.log_scale(df, 10.0, 0.1), "10 * case when x + 0.1::double > 0 then log10(x + 0.1::double) else 1 end")
+frame_query("threshold_upper", lambda df: fr.threshold(df, 0.0, 0.1), "case when x >= 0.1::double then 0 else x end")
+frame_query("threshold_both", lambda df: fr.threshold(df, 1.0, 0.1, "both"), "case when x >= 0.1::double then 1 when x <= -0.1::double then -1 else x end")
+query(
+    "resample_spectrum",
+    f"""with {FRAMES} select a.frame_x, a.k, round(b.x + (a.k * 0.75::double - floor(a.k * 0.75::double)) * (c.x - b.x), 6) + 0.0 as y
+from f a join f b on b.frame_x = a.frame_x and b.k = floor(a.k * 0.75::double) join f c on c.frame_x = a.frame_x and c.k = least(floor(a.k * 0.75::double) + 1, 63)""",
+)(lambda spark, d: long(fr.resample_spectrum(frames(spark, d), 0.75)))
+query("channel_extraction", f"with {FRAMES} select frame_x, (k - 1) // 4 as k, round(x, 6) + 0.0 as y from f where k % 4 = 1")(lambda spark, d: long(fr.channel(frames(spark, d), 1, 4)))
+query("median_filter", f"with {FRAMES} select frame_x, k, round(case when k < 1 or k >= 63 then x else median(x) over (partition by frame_x order by k rows between 1 preceding and 1 following) end, 6) + 0.0 as y from f")(
+    lambda spark, d: long(fr.median_filter(frames(spark, d), 3))
+)
+query("signal_power", f"with {FRAMES} select frame_x, round(sum(x * x) / count(*) / (65536.0::double * 65536 / 4) * 1e12, 6) + 0.0 as power from f group by frame_x")(
+    lambda spark, d: fr.signal_power(frames(spark, d)).select("frame_x", r(F.col("power") * 1e12).alias("power"))
+)
+query(
+    "zero_crossings",
+    f"""with {FRAMES}, g as (select *, lead(x) over (partition by frame_x order by k) as z from f)
+select frame_x, round(sum(case when k < 63 then abs(sign(z) - sign(x)) / 2.0::double * (0.54::double - 0.46::double * cos(2 * pi() * k / 63)) else 0 end) / 64, 6) + 0.0 as rate from g group by frame_x""",
+)(lambda spark, d: fr.zero_crossings(frames(spark, d)).select("frame_x", r("rate").alias("rate")))
+query(
+    "dft_power",
+    f"""with {FRAMES}, b as (select unnest(range(33)) as bin),
+g as (select frame_x, bin, sum(x * cos(2 * pi() * k * bin / 64)) as re, sum(x * sin(2 * pi() * k * bin / 64)) as im from f, b group by all)
+select frame_x, bin as k, round(re * re + im * im, 6) + 0.0 as y from g""",
+)(lambda spark, d: long(fr.dft_power(frames(spark, d), 33)))
+query(
+    "cepstrum",
+    f"with {FRAMES}, b as (select unnest(range(13)) as c) select frame_x, c as k, round(sum(x * cos(pi() * c * (k + 0.5::double) / 64)), 6) + 0.0 as y from f, b group by all",
+)(lambda spark, d: long(fr.cepstrum(frames(spark, d), 13, 64)))
+query(
+    "mel_filterbank",
+    f"""with {FRAMES}, e as (select unnest(range(12)) as j), edge as (select j, 700 * (10 ** (j * 2595 * log10(1 + 8000.0::double / 700) / 11 / 2595) - 1) as hz from e),
+w as (select a.j as c, k, greatest(0, least((k * 8000.0::double / 63 - a.hz) / (b.hz - a.hz), (c.hz - k * 8000.0::double / 63) / (c.hz - b.hz))) as w
+  from edge a join edge b on b.j = a.j + 1 join edge c on c.j = a.j + 2, (select unnest(range(64)) as k) k)
+select frame_x, w.c as k, round(sum(x * w.w) / greatest(min(t.t), 1e-12), 6) + 0.0 as y from f join w using (k) join (select c, sum(w) as t from w group by c) t on t.c = w.c group by frame_x, w.c""",
+)(lambda spark, d: long(fr.mel_filterbank(frames(spark, d), 10, 64, 16000.0)))
+query("autocorrelation", f"with {FRAMES}, l as (select unnest(range(5)) as lag) select a.frame_x, lag as k, round(sum(a.x * b.x), 6) + 0.0 as y from f a cross join l join f b on b.frame_x = a.frame_x and b.k = a.k + lag group by all")(
+    lambda spark, d: long(fr.autocorrelation(frames(spark, d), 5))
+)
+query("lpc")(lambda spark, d: fr.lpc(frames(spark, d), 8).select("frame_x", F.posexplode("v").alias("k", "a"), "error"))
+query(
+    "spectral_shape",
+    f"""with {FRAMES}, p as (select frame_x, k, x * x + 1e-6::double as p from f), t as (select frame_x, sum(p) as total, sum(k * p) / sum(p) as centroid, exp(avg(ln(p))) / avg(p) as flatness from p group by frame_x),
+c as (select *, sum(p) over (partition by frame_x order by k) as upto from p)
+select frame_x, round(any_value(total), 6) + 0.0 as total, round(any_value(centroid), 6) + 0.0 as centroid, round(sqrt(sum((k - centroid) * (k - centroid) * p) / any_value(total)), 6) + 0.0 as bandwidth,
+cast(count(*) filter (where upto < 0.85::double * total) as integer) as rolloff, round(any_value(flatness), 6) + 0.0 as flatness from c join t using (frame_x) group by frame_x""",
+)(lambda spark, d: fr.spectral_shape(frames(spark, d).withColumn("v", F.expr("transform(v, x -> x * x + 1e-6D)"))).select("frame_x", *(r(c).alias(c) for c in ("total", "centroid", "bandwidth")), "rolloff", r("flatness").alias("flatness")))
+
+
+def sample_query(name: str, op, sql: str) -> None:
+    query(name, f"with {SAMPLES}, h as ({sql}) select key, n, round(y, 6) + 0.0 as y from h")(lambda spark, d: op(samples(spark, d)).select("key", "n", r("y").alias("y")))
+
+
+W = "over (partition by key order by n)"
+ALL = "over (partition by key)"
+sample_query("preemphasis", lambda s: temporal.preemphasis(s, "key"), f"select key, n, x - 0.95::double * coalesce(lag(x) {W}, 0) as y from s")
+sample_query("fir", lambda s: temporal.fir(s, "key", [0.5, 0.3, 0.2]), f"select key, n, 0.5::double * x + 0.3::double * coalesce(lag(x) {W}, 0) + 0.2::double * coalesce(lag(x, 2) {W}, 0) as y from s")
+sample_query(
+    "delta",
+    lambda s: temporal.delta(s, "key", 2),
+    f"select key, n, (coalesce(lead(x) {W}, last_value(x) over (partition by key order by n rows between unbounded preceding and unbounded following)) - coalesce(lag(x) {W}, first_value(x) {W}) + 2 * (coalesce(lead(x, 2) {W}, last_value(x) over (partition by key order by n rows between unbounded preceding and unbounded following)) - coalesce(lag(x, 2) {W}, first_value(x) {W}))) / 10 as y from s",
+)
+sample_query("mean_variance_normalised", lambda s: temporal.mean_normalised(s, "key"), f"select key, n, (x - avg(x) {ALL}) / stddev_pop(x) {ALL} as y from s")
+sample_query("range_normalised", lambda s: temporal.range_normalised(s, "key"), f"select key, n, case when max(x) {ALL} > min(x) {ALL} then (x - min(x) {ALL}) / (max(x) {ALL} - min(x) {ALL}) else 0 end as y from s")
+sample_query("adaptive_log", lambda s: temporal.adaptive_log(s, "key"), f"select key, n, case when x + max(x) {ALL} / 10000 > 0 then log10(x + max(x) {ALL} / 10000) else 1 end as y from s")
+query("running_mean", f"with {SAMPLES} select key, n, round(avg(x) {W}, 10) + 0.0 as y from s")(lambda spark, d: temporal.running_mean(samples(spark, d), "key").select("key", "n", r("y", 10).alias("y")))
+ORACLE_RECURSION = "with recursive {S}, e as (select key, n, 0.1::double * x as y from s where n = 0 union all select s.key, s.n, 0.9::double * e.y + 0.1::double * s.x from e join s on s.key = e.key and s.n = e.n + 1) "
+query("exponential_mean", ORACLE_RECURSION.replace("{S}", SAMPLES) + "select key, n, y::float::double as y from e")(lambda spark, d: temporal.exponential_mean(samples(spark, d), "key", 0.9).select("key", "n", F.col("y").cast("float").cast("double").alias("y")))
+query(
+    "wiener_gain",
+    ORACLE_RECURSION.replace("{S}", SAMPLES) + "select s.key, s.n, round(case when x > 0 then greatest(0.1::double, 1 - coalesce(e.y, 0) / x) else 0.1::double end, 6) + 0.0 as gain from s left join e on e.key = s.key and e.n = s.n - 1",
+)(lambda spark, d: arrays.wiener_gain(samples(spark, d), "key").select("key", "n", r("gain").alias("gain")))
+query(
+    "framing",
+    f"with {SAMPLES}, t as (select key, unnest(range(0, max(n) - 6, 4)) // 4 as frame_x from s group by key) select key, frame_x, n - frame_x * 4 as k, round(x, 6) + 0.0 as x from t join s using (key) where n between frame_x * 4 and frame_x * 4 + 7",
+)(lambda spark, d: temporal.frames(samples(spark, d), "key", 8, 4).select("key", "frame_x", F.posexplode("v").alias("k", "x")).select("key", "frame_x", F.col("k").cast("long").alias("k"), r("x").alias("x")))
+query(
+    "stacking",
+    f"with {FRAMES}, m as (select max(frame_x) as m from f) select a.frame_x, (b.frame_x - a.frame_x + 1) * 64 + b.k as k, round(b.x, 6) + 0.0 as y from (select distinct frame_x from f) a join f b on b.frame_x between a.frame_x - 1 and a.frame_x + 1, m where a.frame_x between 1 and m - 1",
+)(lambda spark, d: long(temporal.stack(frames(spark, d).withColumn("u", F.lit(0)).withColumn("n", F.col("frame_x")), "u", 1, 1)))
+query("merge", f"with {FRAMES} select frame_x, k, round(x, 6) + 0.0 as y from f union all select frame_x, k + 64, round(2.0::double * x, 6) + 0.0 from f")(
+    lambda spark, d: long(temporal.merge(frames(spark, d), fr.amplify(frames(spark, d), 2.0).select("frame_x", "v"), "frame_x"))
+)
+query(
+    "as_of_merge",
+    """with a as (select event_id, user_id, ts from events where event_type = (select min(event_type) from events)), b as (select user_id, ts, max(value) as value from events where event_type = (select max(event_type) from events) group by all)
+select a.event_id, round(b.value, 6) + 0.0 as held from a asof left join b on a.user_id = b.user_id and a.ts >= b.ts""",
+)(lambda spark, d: _as_of(table(spark, d, "events")))
+
+
+def _as_of(e: DataFrame) -> DataFrame:
+    ends = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    left = e.where(F.col("event_type") == ends["a"]).select("event_id", "user_id", "ts")
+    right = e.where(F.col("event_type") == ends["b"]).groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return temporal.as_of(left, right, "user_id", "ts", "value").select("event_id", r("held").alias("held"))
+
+
+query("mix", f"with {SAMPLES} select a.key, a.n, round(a.x + 10 ** (-6.0::double / 20) * b.x, 6) + 0.0 as y from s a join s b on b.key = a.key and b.n = a.n + 1")(
+    lambda spark, d: temporal.mix(samples(spark, d), samples(spark, d).withColumn("n", F.col("n") - 1), ["key", "n"], -6.0).select("key", "n", r("y").alias("y"))
+)
+query(
+    "cross_correlation",
+    f"with {SAMPLES}, a as (select * from s where key = (select min(key) from s)), b as (select * from s where key = (select max(key) from s)), l as (select unnest(range(-5, 6)) as lag) select cast(lag as integer) as lag, round(sum(a.x * b.x), 4) + 0.0 as r from a cross join l join b on b.n = a.n + lag group by lag",
+)(lambda spark, d: _correlation(samples(spark, d)))
+
+
+def _correlation(s: DataFrame) -> DataFrame:
+    ends = s.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
+    return temporal.cross_correlation(s.where(F.col("key") == ends["a"]), s.where(F.col("key") == ends["b"]), 5).select("lag", r("r", 4).alias("r"))
+
+
+HITS = f"with {SAMPLES}, h as (select key, n, cast(x > avg(x) {ALL} as integer) as hit from s), c as (select *, case when min(hit) over (partition by key order by n rows between 1 preceding and current row) = 1 and n >= 1 then 1 when max(hit) over (partition by key order by n rows between 2 preceding and current row) = 0 and n >= 2 then 0 end as c from h), v as (select key, n, coalesce(last_value(c ignore nulls) over (partition by key order by n rows between unbounded preceding and current row), 0) as speech from c)"
+
+
+def _speech(spark, d) -> DataFrame:
+    s = samples(spark, d)
+    return temporal.hang_over(s.withColumn("hit", F.col("x") > F.avg("x").over(Window.partitionBy("key"))), "key", 2, 3)
+
+
+query("speech_activity", HITS + " select key, n, speech from v")(lambda spark, d: _speech(spark, d).select("key", "n", "speech"))
+query(
+    "speech_segments",
+    HITS + ", g as (select *, n - row_number() over (partition by key, speech order by n) as g from v) select key, min(n) as first, max(n) as last, count(*) as size from g where speech = 1 group by key, g",
+)(lambda spark, d: temporal.segments(_speech(spark, d), "key"))
+
+GAUSS = f"{FRAMES}, book as (select label, k, count(*) as occ, avg(x) as mu, greatest(avg(x * x) - avg(x) * avg(x), 1e-4::double) as var from f group by all)"
+SCORES = GAUSS + ", sc as (select frame_x, book.label as class, sum((x - mu) * (x - mu) / var + ln(var) + ln(2 * pi())) / 2 as score from f join book using (k) group by all)"
+WEIGHTS = ", wt as (select label as class, (count(*) / (select count(*) from embeddings)::double + 1e-4::double) / (1 + 1e-4::double * (select count(distinct label) from embeddings)) as weight from embeddings group by label)"
+
+
+def _scores(spark, d):
+    f = gaussians.long_frames(frames(spark, d))
+    return f, gaussians.scores(f, gaussians.codebook(f))
+
+
+def _weights(spark, d):
+    return gaussians.mixture_weights(frames(spark, d))
+
+
+query("codebook", f"with {GAUSS} select label, cast(k as integer) as dim, occ, round(mu, 6) + 0.0 as mu, round(var, 6) + 0.0 as var from book")(
+    lambda spark, d: gaussians.codebook(gaussians.long_frames(frames(spark, d))).select("label", "dim", "occ", r("mu").alias("mu"), r("var").alias("var"))
+)
+query(FLAGSHIP, f"with {SCORES} select frame_x, class, round(score, 6) + 0.0 as score from sc qualify row_number() over (partition by frame_x order by score, class) = 1")(
+    lambda spark, d: gaussians.best(_scores(spark, d)[1]).select("frame_x", "class", r("score").alias("score"))
+)
+query("mixture_weights", f"with x as (select 1){WEIGHTS} select class, round(weight, 9) + 0.0 as weight from wt")(lambda spark, d: _weights(spark, d).select("class", r("weight", 9).alias("weight")))
+query("mixture_score", f"with {SCORES}{WEIGHTS}, s as (select frame_x, score - ln(weight) as s from sc join wt using (class)), m as (select frame_x, min(s) as low from s group by frame_x) select frame_x, round(min(low) - ln(sum(exp(low - s))), 6) + 0.0 as score from s join m using (frame_x) group by frame_x")(
+    lambda spark, d: gaussians.mixture(_scores(spark, d)[1], _weights(spark, d)).select("frame_x", r("score").alias("score"))
+)
+query("mixture_posteriors", f"with {SCORES}{WEIGHTS}, s as (select frame_x, class, score - ln(weight) as s from sc join wt using (class)), e as (select *, exp(min(s) over (partition by frame_x) - s) as e from s) select frame_x, class, round(e / sum(e) over (partition by frame_x), 6) + 0.0 as p from e")(
+    lambda spark, d: gaussians.posteriors(_scores(spark, d)[1], _weights(spark, d)).select("frame_x", "class", r("p").alias("p"))
+)
+query(
+    "scatter_matrices",
+    f"""with {FRAMES}, b as (select a.label, a.k as i, b.k as j, count(*) as n, sum(a.x) as si, sum(b.x) as sj, sum(a.x * b.x) as sij from f a join f b on b.frame_x = a.frame_x where a.k < 8 and b.k < 8 group by all)
+select cast(i as integer) as i, cast(j as integer) as j, round(sum(sij - si * sj / n) / sum(n), 6) + 0.0 as within, round((sum(si * sj / n) - sum(si) * sum(sj) / sum(n)) / sum(n), 6) + 0.0 as between from b group by i, j""",
+)(lambda spark, d: gaussians.scatter(gaussians.long_frames(frames(spark, d)), 8).select("i", "j", r("within").alias("within"), r("between").alias("between")))
+
+SNAPS = f"{SAMPLES}, t as (select key as chan, n // 16 as frame, n % 16 as i, x from s where key < 4), c as (select chan, frame, bin, sum(x * cos(2 * pi() * i * bin / 16)) as re, -sum(x * sin(2 * pi() * i * bin / 16)) as im from t, (select unnest(range(5)) as bin) group by chan, frame, bin having count(*) = 16)"
+
+
+def _snapshots(spark, d) -> DataFrame:
+    f = temporal.frames(samples(spark, d).where("key < 4"), "key", 16, 16)
+    return arrays.spectra(f.select(F.col("key").alias("chan"), F.col("frame_x").alias("frame"), "v"), ["chan", "frame"], 5, 16)
+
+
+query("spectra", f"with {SNAPS} select chan, frame, cast(bin as integer) as bin, round(re, 6) + 0.0 as re, round(im, 6) + 0.0 as im from c")(lambda spark, d: _snapshots(spark, d).select("chan", "frame", "bin", r("re").alias("re"), r("im").alias("im")))
+query(
+    "delay_and_sum",
+    f"with {SNAPS}, p as (select *, bin * 2 * pi() * 16000.0::double / 16 * chan * 1e-5::double as a from c) select frame, cast(bin as integer) as bin, round(avg(re * cos(a) - im * sin(a)), 6) + 0.0 as re, round(avg(re * sin(a) + im * cos(a)), 6) + 0.0 as im from p group by frame, bin",
+)(lambda spark, d: arrays.delay_and_sum(_snapshots(spark, d), {k: k * 1e-5 for k in range(4)}, 16000.0, 16).select("frame", "bin", r("re").alias("re"), r("im").alias("im")))
+query(
+    "cross_spectra",
+    f"with {SNAPS} select a.chan as a, b.chan as b, cast(a.bin as integer) as bin, round(avg(a.re * b.re + a.im * b.im), 7) + 0.0 as re, round(avg(a.im * b.re - a.re * b.im), 7) + 0.0 as im from c a join c b on b.frame = a.frame and b.bin = a.bin and a.chan <= b.chan group by all",
+)(lambda spark, d: arrays.cross_spectra(_snapshots(spark, d)).select("a", "b", "bin", r("re", 7).alias("re"), r("im", 7).alias("im")))
+query("echo_canceller")(lambda spark, d: arrays.echo_canceller(samples(spark, d).withColumn("far", F.lag("x", 1, 0.0).over(temporal.ordered("key"))), "key"))
+
+
+def _noisy(spark, d) -> DataFrame:
+    return samples(spark, d).withColumn("z", F.col("x") * 1.1 + 0.01 * F.col("n") % 3)
+
+
+NOISY = f"with {SAMPLES}, z as (select *, x * 1.1::double + 0.01::double * n % 3 as z from s)"
+query("snr", NOISY + " select key, round(10 * log10(sum(x * x) / sum((z - x) * (z - x))), 6) + 0.0 as snr from z group by key")(lambda spark, d: metrics.snr(_noisy(spark, d), "key", "x", "z").select("key", r("snr").alias("snr")))
+query("segmental_snr", NOISY + ", g as (select key, n // 10 as g, 10 * log10(sum(x * x) / sum((z - x) * (z - x))) as snr from z group by all) select key, round(avg(greatest(-10.0::double, least(35.0::double, snr))), 6) + 0.0 as snr from g group by key")(
+    lambda spark, d: metrics.segmental_snr(_noisy(spark, d), "key", "x", "z", 10).select("key", r("snr").alias("snr"))
+)
+query("itakura_saito", NOISY + " select key, round(avg(x / z - ln(x / z) - 1), 6) + 0.0 as distance from z where x > 0 and z > 0 group by key")(lambda spark, d: metrics.itakura_saito(_noisy(spark, d), "key", "x", "z").select("key", r("distance").alias("distance")))
+query(
+    "detection_counts",
+    "with t as (select unnest([100.0::double, 1000, 3000]) as threshold), x as (select l.toxic, d.n_chars::double as s from labels l join documents d using (doc_id)) select threshold, count(*) filter (where s >= threshold and toxic = 1) as hits, count(*) filter (where s < threshold and toxic = 1) as misses, count(*) filter (where s >= threshold and toxic = 0) as false_alarms, count(*) filter (where s < threshold and toxic = 0) as rejections from x, t group by threshold",
+)(lambda spark, d: metrics.detection(table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").withColumn("s", F.col("n_chars").cast("double")), "toxic", "s", [100.0, 1000.0, 3000.0]))
+query("word_errors")(
+    lambda spark, d: metrics.word_errors(
+        table(spark, d, "benchmark").alias("a").join(table(spark, d, "benchmark").alias("b"), F.expr("a.item_id + 1 = b.item_id")).select(F.col("a.item_id").alias("item_id"), F.col("a.text").alias("ref"), F.col("b.text").alias("hyp")), "ref", "hyp"
+    ).select("item_id", "errors")
+)
+
+# Word graph of the benchmark items: states are words (0: start, 1: end), costs -ln of the share of a word's successors.
+WORDS = """w as (select item_id, unnest(range(len(string_split(text, ' ')))) as k, unnest(string_split(text, ' ')) as word from benchmark),
+voc as (select word, row_number() over (order by word) + 1 as id from (select distinct word from w)),
+p as (select item_id, k, id from w join voc using (word)),
+q as (select coalesce(a.id, 0) as src, b.id as dst from p b left join p a on a.item_id = b.item_id and a.k = b.k - 1 union all select id, 1 from p qualify row_number() over (partition by item_id order by k desc) = 1),
+e as (select src, dst, -ln(count(*) / sum(count(*)) over (partition by src)) as cost from q group by src, dst)"""
+
+
+def word_graph(spark, d) -> DataFrame:
+    words = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    vocabulary = words.select("word").distinct().select("word", (F.row_number().over(Window.orderBy(F.col("word").cast("binary"))) + 1).cast("long").alias("id"))
+    p = words.join(vocabulary, "word").select("item_id", "k", "id")
+    w = Window.partitionBy("item_id").orderBy("k")
+    steps = p.select(F.lag("id", 1, 0).over(w).alias("src"), F.col("id").alias("dst"), F.lead("id").over(w).alias("next"))
+    pairs = steps.select("src", "dst").union(steps.where("next is null").select("dst", F.lit(1).cast("long")))
+    n = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    cost = -F.log(F.col("n") / F.sum("n").over(Window.partitionBy("src")))
+    return n.select("src", "dst", F.col("dst").alias("isym"), F.col("dst").alias("osym"), cost.alias("cost"))
+
+
+query("word_graph", f"with {WORDS} select src, dst, round(cost, 6) + 0.0 as cost from e")(lambda spark, d: word_graph(spark, d).select("src", "dst", r("cost").alias("cost")))
+query("graph_reverse", f"with {WORDS} select dst as src, src as dst, round(cost, 6) + 0.0 as cost from e")(lambda spark, d: graphs.reverse(word_graph(spark, d)).select("src", "dst", r("cost").alias("cost")))
+query(
+    "shortest_costs",
+    f"with recursive {WORDS}, r as (select 0::bigint as state, 0::double as cost, 0 as depth union select e.dst, min(r.cost + e.cost), r.depth + 1 from r join e on e.src = r.state where r.depth < 30 group by e.dst, r.depth) select state, round(min(cost), 6) + 0.0 as cost from r group by state",
+)(lambda spark, d: graphs.shortest(word_graph(spark, d), 0).select("state", r("cost").alias("cost")))
+
+
+def _final(spark) -> DataFrame:
+    return spark.createDataFrame([(1, 0.0)], "state long, cost double")
+
+
+query("graph_purge", f"with {WORDS} select src, dst, round(cost, 6) + 0.0 as cost from e")(lambda spark, d: graphs.purge(word_graph(spark, d), 0, _final(spark)).select("src", "dst", r("cost").alias("cost")))
+query("push_weights")(lambda spark, d: graphs.push_weights(word_graph(spark, d), _final(spark))[0].select("src", "dst", r("cost").alias("cost")))
+query("compose")(lambda spark, d: graphs.compose(word_graph(spark, d), word_graph(spark, d), 1 << 20).select("src", "dst", "isym", "osym", r("cost").alias("cost")))

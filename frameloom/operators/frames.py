@@ -125,12 +125,8 @@ def autocorrelation(df: DataFrame, lags: int) -> DataFrame:
 
 def lpc(df: DataFrame, order: int) -> DataFrame:
     """Linear prediction by the Levinson-Durbin recursion on the frame's autocorrelation: coefficients in `v`, residual power in `error`."""
-    from collections.abc import Iterator
-
     import pyarrow as pa
 
-    kind = pa.struct([("v", pa.list_(pa.float64())), ("error", pa.float64())])
-
     def levinson(r: np.ndarray) -> dict:
         a, e = np.zeros(order + 1), r[0]
         a[0] = 1
@@ -141,12 +137,14 @@ def lpc(df: DataFrame, order: int) -> DataFrame:
         return {"v": a.tolist(), "error": float(e)}
 
     def run(batches):
-        for column in batches:
-            yield pa.array([None if x is None else levinson(np.array(x)) for x in column.to_pylist()], kind)
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    df = autocorrelation(df, order + 1).withColumn("__s", F.arrow_udf(run, "struct<v:array<double>,error:double>")("v"))
-    return df.withColumn("v", F.col("__s.v")).withColumn("error", F.col("__s.error")).drop("__s")
+        for batch in batches:
+            found = [{"v": None, "error": None} if x is None else levinson(np.array(x)) for x in batch.column("v").to_pylist()]
+            at = batch.schema.names.index("v")
+            solved = batch.set_column(at, "v", pa.array([f["v"] for f in found], pa.list_(pa.float64())))
+            yield solved.append_column("error", pa.array([f["error"] for f in found], pa.float64()))
+
+    df = autocorrelation(df, order + 1)
+    return df.mapInArrow(run, df.withColumn("error", F.lit(0.0)).schema)
 
 
 SPECTRAL = {

@@ -43,6 +43,13 @@ def _key(code: Column, plain: Column, at: Column) -> Column:
     return F.when(literal >= 2, F.xxhash64(*codes)).otherwise(F.xxhash64(F.lit("words"), *(plain[at + k] for k in range(WIDTH))))
 
 
+def _settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the columns computed here, once a row: otherwise the optimizer moves their expressions into the functions that
+    are applied to each element further up, and they are computed for each element."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.explode(F.array(F.struct(*names))).alias("__s")).select(*rest, *(F.col(f"__s.{c}").alias(c) for c in names))
+
+
 def _positions(words: Column) -> Column:
     return F.when(F.size(words) >= WIDTH, F.sequence(F.lit(0), F.size(words) - WIDTH))
 
@@ -81,29 +88,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
 
     code, plain = _templates(F.col("words"))
     keys = F.coalesce(F.transform(_positions(F.col("words")), lambda k: _key(F.col("code"), F.col("plain"), k)), F.array().cast("array<long>"))
-    full = lambda df, *c: df.select(*c, "words", code.alias("code"), plain.alias("plain")).select(*c, "words", "code", keys.alias("keys"))
+    exact = F.coalesce(F.transform(_positions(F.col("words")), lambda k: F.xxhash64(*(F.col("plain")[k + j] for j in range(WIDTH)))), F.array().cast("array<long>"))
+
+    def full(df: DataFrame, *c: str) -> DataFrame:
+        df = _settled(_settled(df, "words").select(*c, "words", code.alias("code"), plain.alias("plain")), "code", "plain")
+        return _settled(df.select(*c, "words", "code", keys.alias("keys"), exact.alias("exact")), "keys", "exact")
+
     wanted = pairs.select(F.col("doc_id").alias("d"), "item_id")
     if pairs.count() <= most_broadcast:
         wanted = F.broadcast(wanted)
     both = full(rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "item_id", _words(F.col("text")).alias("words")), "doc_id", "item_id")
-    of_item = full(items, "item_id").select(F.col("item_id").alias("i"), F.col("words").alias("own"), F.col("code").alias("own_code"), F.col("keys").alias("own_keys"))
+    of_item = full(items, "item_id").select(F.col("item_id").alias("i"), F.col("words").alias("own"), F.col("code").alias("own_code"), F.col("keys").alias("own_keys"), F.col("exact").alias("own_exact"))
     both = both.join(of_item, F.col("item_id") == F.col("i"))
     distinct = F.array_distinct("own_keys")
     both = both.withColumn("n_windows", F.size(distinct).cast("long")).withColumn("n_matched", F.size(F.array_intersect(distinct, F.col("keys"))).cast("long"))
     both = both.where(F.col("n_matched") >= F.ceil(F.col("n_windows") * threshold))
-    at = F.transform("own_keys", lambda k: F.array_position("keys", k))
+    # a window is held against the place of its very words, if the document has them, else of its template
+    at = F.zip_with("own_keys", "own_exact", lambda k, x: F.when(F.array_contains("exact", x), F.array_position("exact", x)).otherwise(F.array_position("keys", k)))
+    both = _settled(both.withColumn("places", at), "places")
     slots = F.flatten(
         F.transform(
-            at,
+            "places",
             lambda p, k: F.filter(
                 F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.when((p > 0) & F.col("own_code")[k + j].between(NUMBER, NAME), F.struct((k + j).alias("k"), F.col("own")[k + j].alias("item"), F.col("words")[(p + j - 1).cast("int")].alias("doc")))),
                 lambda x: x.isNotNull(),
             ),
         )
     )
-    out = both.select("doc_id", "item_id", "n_windows", "n_matched", F.array_distinct(slots).alias("slots"))
-    out = out.withColumn("cells", F.transform("slots", lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc"))))
+    out = _settled(both.select("doc_id", "item_id", "n_windows", "n_matched", F.array_distinct(slots).alias("slots")), "slots")
+    out = _settled(out.withColumn("cells", F.transform("slots", lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc")))), "cells")
     out = out.withColumn("cells", F.transform(F.array_distinct("cells"), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc"), F.size(F.filter("cells", lambda x: x == c)).alias("n"))))
+    out = _settled(out, "cells")
 
     def agreeing(side: str) -> Column:
         """Slots that hold the value that goes with theirs most often."""
@@ -142,15 +157,17 @@ with w as (
 ), p as (
   select *, unnest(generate_series(1, len(words) - 4)) as pos from t
 ), k as (
-  select kind, id, pos, case when len(list_filter(list_slice(code, pos, pos + 4), lambda x: x not in ('<n>', '<u>', '<p>'))) >= 2
+  select kind, id, pos, lower(array_to_string(list_slice(words, pos, pos + 4), ' ')) as lit, case when len(list_filter(list_slice(code, pos, pos + 4), lambda x: x not in ('<n>', '<u>', '<p>'))) >= 2
     then array_to_string(list_slice(code, pos, pos + 4), ' ') else '= ' || lower(array_to_string(list_slice(words, pos, pos + 4), ' ')) end as key
   from p
 ), d as (
   select id, key, min(pos) as pos from k where kind = 'd' group by all
+), x as (
+  select id, lit, min(pos) as pos from k where kind = 'd' group by all
 ), n as (
   select id, count(distinct key) as n_windows from k where kind = 'i' group by id
 ), m as (
-  select d.id as doc_id, i.id as item_id, i.pos as i_at, d.pos as d_at, i.key from k i join d on d.key = i.key where i.kind = 'i'
+  select d.id as doc_id, i.id as item_id, i.pos as i_at, coalesce(x.pos, d.pos) as d_at, i.key from k i join d on d.key = i.key left join x on x.id = d.id and x.lit = i.lit where i.kind = 'i'
 ), c as (
   select doc_id, item_id, n_windows, count(distinct key) as n_matched from m join n on n.id = m.item_id group by all having count(distinct key) >= ceil(n_windows * 0.8::double)
 ), s as (

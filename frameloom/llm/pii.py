@@ -121,6 +121,10 @@ def shape(token: str) -> list[float]:
     ]
 
 
+#: Least potential between tokens of a common key for having the same label.
+PULL = 6.0
+
+
 class Graph:
     """Nodes, edges and evidence of one document."""
 
@@ -234,8 +238,9 @@ def fit(rows: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> Crf:
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     left, right, skip = (w[:, N_SHAPE + k * N_LABELS : N_SHAPE + (k + 1) * N_LABELS] for k in range(3))
-    # a label's pull on its own kind is kept from falling below that of no skip edge: repeats never speak against themselves
-    skip = (skip + skip.T) / 2 + np.diag(np.maximum(0, 1 - np.diag((skip + skip.T) / 2)))
+    # repeats of labelled tokens are rare in what this learns from, so their pull on the same label has a floor
+    skip = (skip + skip.T) / 2
+    skip += np.diag(np.maximum(0, PULL - np.diag(skip)))
     return Crf(w[:, :N_SHAPE], (left.T + right) / 2, skip)
 
 

@@ -106,39 +106,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
-def fit(texts: list[tuple[int, np.ndarray, np.ndarray]], least: int = 5, most: int = 60_000, rounds: int = 250, l2: float = 3e-4, fairness: float = 1.0) -> Model:
-    """Logistic regression by Adam. Features are those of at least `least` texts that tell the classes apart best, at most `most`."""
-    label = np.array([t[0] for t in texts])
-    size = np.array([len(t[1]) for t in texts], np.int64)
+def _counts(found: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """How often each feature occurs where `has` holds, in blocks, as counting widens its input."""
+    out = np.zeros(1 << BITS, np.int64)
+    for lo in range(0, len(found), 1 << 18):
+        out += np.bincount(found[lo : lo + (1 << 18)][has[lo : lo + (1 << 18)]], minlength=1 << BITS)
+    return out
+
+
+def fit(label: np.ndarray, size: np.ndarray, found: np.ndarray, v: np.ndarray, least: int = 5, most: int = 60_000, rounds: int = 250, l2: float = 3e-4, fairness: float = 1.0) -> Model:
+    """Logistic regression by Adam over texts with a label and `size` features each, whose ids (int32) and values (float32) follow one another.
+
+    Features are those of at least `least` texts that tell the classes apart best, at most `most`."""
     if not (label == 1).any() or not (label == 0).any():
         return Model(np.zeros(1 << BITS, np.float32), float(20 if (label == 1).any() else -20))
-    row = np.repeat(np.arange(len(texts)), size)
-    found, v = np.concatenate([t[1] for t in texts]).astype(np.int64), np.concatenate([t[2] for t in texts]).astype(np.float64)
+    row = np.repeat(np.arange(len(label), dtype=np.int32), size)
     n1, n0 = int((label == 1).sum()), int((label == 0).sum())
-    with1 = np.bincount(found[label[row] == 1], minlength=1 << BITS)
-    with0 = np.bincount(found[label[row] == 0], minlength=1 << BITS)
+    kind = np.repeat(label.astype(np.int8), size)
+    with1, with0 = _counts(found, kind == 1), _counts(found, kind == 0)
     p1, p0 = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1)
     pooled = (with1 + with0 + 1) / (n1 + n0 + 2)
     tells = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled).clip(1e-9) * (1 / n1 + 1 / n0))
     tells[with1 + with0 < least] = 0
     kept = np.argsort(-tells, kind="stable")[:most]
     kept = kept[tells[kept] > 2.5]
-    named = np.unique(found[label[row] >= 2])
+    named = np.flatnonzero(_counts(found, kind >= 2))
     kept = np.union1d(kept, named[(with1 + with0)[named] > 0])
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     # inputs are scaled by how far a feature tells the classes apart, so that common words weigh little
     scale = np.abs(np.log(p1[kept] / p0[kept]))
     use = place[found] >= 0
-    row, column, v = row[use], place[found[use]], v[use]
-    v = v * scale[column]
+    row, column, v = row[use].astype(np.int64), place[found[use]].astype(np.int64), v[use].astype(np.float64)
+    v *= scale[column]
     doc = label < 2
     y, share = (label == 1).astype(float), np.where(label == 1, 0.5 / n1, np.where(label == 0, 0.5 / n0, 0.0))
     swapped = np.flatnonzero(label == 3)
     w, b = np.zeros(len(kept)), 0.0
     m = s = np.zeros(len(kept) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[column] * v, len(texts)) + b
+        z = np.bincount(row, w[column] * v, len(label)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = np.where(doc, share * (p - y), 0.0)
         if len(swapped):
@@ -151,7 +158,7 @@ def fit(texts: list[tuple[int, np.ndarray, np.ndarray]], least: int = 5, most: i
         w, b = w - move[:-1], b - move[-1]
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = w * scale
-    return Model(weights, float(_threshold(np.bincount(row, w[column] * v, len(texts))[doc], y[doc], b)))
+    return Model(weights, float(_threshold(np.bincount(row, w[column] * v, len(label))[doc], y[doc], b)))
 
 
 def _threshold(z: np.ndarray, y: np.ndarray, b: float) -> float:
@@ -180,8 +187,25 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> Model:
     chosen = checkpoint(chosen).select(F.col("doc_id").alias("d"), "toxic")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("toxic", "text")  # at most 2 * most_each ids
-    found = rows.mapInArrow(tidy(_training_rows), "toxic int, features binary, values binary").toArrow()
-    return fit([(k, np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for k, f, v in zip(*(found.column(c).to_pylist() for c in ("toxic", "features", "values")), strict=True)])
+    table = rows.mapInArrow(tidy(_training_rows), "toxic int, features binary, values binary").toArrow()
+    label, size = table.column("toxic").to_numpy(), pc.binary_length(table.column("features")).to_numpy().astype(np.int64) // 4
+    found, values = _joined(table.column("features"), np.int32), _joined(table.column("values"), np.float32)
+    del table
+    give_back()
+    model = fit(label, size, found, values)
+    del found, values
+    give_back()
+    return model
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers in a column of bytes, one row's after another's."""
+    parts = [np.zeros(0, kind)]
+    for chunk in column.chunks:
+        if len(chunk) and chunk.buffers()[2] is not None:
+            off = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind))
+    return np.concatenate(parts)
 
 
 def held_out(doc_id):

@@ -117,10 +117,11 @@ def mix(signal: DataFrame, noise: DataFrame, on: list[str], db: float) -> DataFr
     return signal.join(noise.withColumnRenamed("x", "__x"), on).withColumn("y", F.col("x") + 10.0 ** (db / 20) * F.col("__x")).drop("__x")
 
 
-def cross_correlation(left: DataFrame, right: DataFrame, lags: int) -> DataFrame:
-    """Sum over n of left[n] * right[n + lag] for lags from -lags to lags: an equi-join on shifted places."""
-    shifted = left.select(F.col("x").alias("a"), F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col("n").alias("m")).withColumn("n", F.col("m") + F.col("lag"))
-    return shifted.join(right.select("n", F.col("x").alias("b")), "n").groupBy("lag").agg(F.sum(F.col("a") * F.col("b")).alias("r"))
+def cross_correlation(left: DataFrame, right: DataFrame, lags: int, by: list[str] | None = None) -> DataFrame:
+    """Sum over n of left[n] * right[n + lag] for lags from -lags to lags, per value of the columns by: an equi-join on shifted places."""
+    by = by or []
+    shifted = left.select(*by, F.col("x").alias("a"), F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col("n").alias("m")).withColumn("n", F.col("m") + F.col("lag"))
+    return shifted.join(right.select(*by, "n", F.col("x").alias("b")), [*by, "n"]).groupBy(*by, "lag").agg(F.sum(F.col("a") * F.col("b")).alias("r"))
 
 
 def hang_over(df: DataFrame, key: str, frames_on: int, frames_off: int) -> DataFrame:

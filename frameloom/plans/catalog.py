@@ -165,13 +165,13 @@ query("mix", f"with {SAMPLES} select a.key, a.n, round(a.x + 10 ** (-6.0::double
 )
 query(
     "cross_correlation",
-    f"with {SAMPLES}, a as (select * from s where key = (select min(key) from s)), b as (select * from s where key = (select max(key) from s)), l as (select unnest(range(-5, 6)) as lag) select cast(lag as integer) as lag, round(sum(a.x * b.x), 4) + 0.0 as r from a cross join l join b on b.n = a.n + lag group by lag",
+    f"with {SAMPLES}, l as (select unnest(range(-5, 6)) as lag) select a.key, cast(lag as integer) as lag, round(sum(a.x * b.x), 4) + 0.0 as r from s a cross join l join s b on b.key = a.key + 1 and b.n = a.n + lag group by a.key, lag",
 )(lambda spark, d: _correlation(samples(spark, d)))
 
 
 def _correlation(s: DataFrame) -> DataFrame:
-    ends = s.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
-    return temporal.cross_correlation(s.where(F.col("key") == ends["a"]), s.where(F.col("key") == ends["b"]), 5).select("lag", r("r", 4).alias("r"))
+    """Every channel with the next one."""
+    return temporal.cross_correlation(s, s.withColumn("key", F.col("key") - 1), 5, ["key"]).select("key", "lag", r("r", 4).alias("r"))
 
 
 HITS = f"with {SAMPLES}, h as (select key, n, cast(x > avg(x) {ALL} as integer) as hit from s), c as (select *, case when min(hit) over (partition by key order by n rows between 1 preceding and current row) = 1 and n >= 1 then 1 when max(hit) over (partition by key order by n rows between 2 preceding and current row) = 0 and n >= 2 then 0 end as c from h), v as (select key, n, coalesce(last_value(c ignore nulls) over (partition by key order by n rows between unbounded preceding and current row), 0) as speech from c)"
@@ -217,16 +217,18 @@ query("mixture_posteriors", f"with {SCORES}{WEIGHTS}, s as (select frame_x, clas
 )
 query(
     "scatter_matrices",
-    f"""with {FRAMES}, b as (select a.label, a.k as i, b.k as j, count(*) as n, sum(a.x) as si, sum(b.x) as sj, sum(a.x * b.x) as sij from f a join f b on b.frame_x = a.frame_x where a.k < 8 and b.k < 8 group by all)
+    f"""with {FRAMES}, b as (select a.label, a.k as i, b.k as j, count(*) as n, sum(a.x) as si, sum(b.x) as sj, sum(a.x * b.x) as sij from f a join f b on b.frame_x = a.frame_x group by all)
 select cast(i as integer) as i, cast(j as integer) as j, round(sum(sij - si * sj / n) / sum(n), 6) + 0.0 as within, round((sum(si * sj / n) - sum(si) * sum(sj) / sum(n)) / sum(n), 6) + 0.0 as between from b group by i, j""",
-)(lambda spark, d: gaussians.scatter(gaussians.long_frames(frames(spark, d)), 8).select("i", "j", r("within").alias("within"), r("between").alias("between")))
+)(lambda spark, d: gaussians.scatter(gaussians.long_frames(frames(spark, d)), 64).select("i", "j", r("within").alias("within"), r("between").alias("between")))
 
-SNAPS = f"{SAMPLES}, t as (select key as chan, n // 16 as frame, n % 16 as i, x from s where key < 4), c as (select chan, frame, bin, sum(x * cos(2 * pi() * i * bin / 16)) as re, -sum(x * sin(2 * pi() * i * bin / 16)) as im from t, (select unnest(range(5)) as bin) group by chan, frame, bin having count(*) = 16)"
+# Every four users in order form an array of four channels; a frame's id is array * 2^32 + its place.
+SNAPS = f"{SAMPLES}, t as (select key % 4 as chan, (key // 4) * 4294967296 + n // 16 as frame, n % 16 as i, x from s), c as (select chan, frame, bin, sum(x * cos(2 * pi() * i * bin / 16)) as re, -sum(x * sin(2 * pi() * i * bin / 16)) as im from t, (select unnest(range(5)) as bin) group by chan, frame, bin having count(*) = 16)"
 
 
 def _snapshots(spark, d) -> DataFrame:
-    f = temporal.frames(samples(spark, d).where("key < 4"), "key", 16, 16)
-    return arrays.spectra(f.select(F.col("key").alias("chan"), F.col("frame_x").alias("frame"), "v"), ["chan", "frame"], 5, 16)
+    f = temporal.frames(samples(spark, d), "key", 16, 16)
+    frame = F.floor(F.col("key") / 4) * (1 << 32) + F.col("frame_x")
+    return arrays.spectra(f.select((F.col("key") % 4).alias("chan"), frame.cast("long").alias("frame"), "v"), ["chan", "frame"], 5, 16)
 
 
 query("spectra", f"with {SNAPS} select chan, frame, cast(bin as integer) as bin, round(re, 6) + 0.0 as re, round(im, 6) + 0.0 as im from c")(lambda spark, d: _snapshots(spark, d).select("chan", "frame", "bin", r("re").alias("re"), r("im").alias("im")))

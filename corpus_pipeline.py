@@ -23,8 +23,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item leaked into."""
-    return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    """Documents that no benchmark item leaked into, in any letter case."""
+    return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,11 +36,16 @@ def _templates(words: Column) -> tuple[Column, Column]:
     return F.transform(words, code), F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
+def _exact(plain: Column, at: Column) -> Column:
+    """Hash of the lower-case words of the window whose first word has index `at`."""
+    return F.xxhash64(F.lit("words"), *(plain[at + k] for k in range(WIDTH)))
+
+
 def _key(code: Column, plain: Column, at: Column) -> Column:
     """Hash of the window whose first word has index `at`."""
     codes = [code[at + k] for k in range(WIDTH)]
     literal = sum((F.when((c >= NUMBER) & (c <= NAME), 0).otherwise(1) for c in codes[1:]), F.when((codes[0] >= NUMBER) & (codes[0] <= NAME), 0).otherwise(1))
-    return F.when(literal >= 2, F.xxhash64(*codes)).otherwise(F.xxhash64(F.lit("words"), *(plain[at + k] for k in range(WIDTH))))
+    return F.when(literal >= 2, F.xxhash64(*codes)).otherwise(_exact(plain, at))
 
 
 def _settled(df: DataFrame, *names: str) -> DataFrame:
@@ -55,13 +60,13 @@ def _positions(words: Column) -> Column:
 
 
 def _windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row per window: the columns `keep`, at and key. The arrays stay in the generated code, only the key leaves it."""
+    """One row per window: the columns `keep`, at, key and exact. The arrays stay in the generated code, only the hashes leave it."""
     code, plain = _templates(F.col("words"))
     rows = rows.select(*keep, code.alias("code"), plain.alias("plain"), _positions(F.col("words")).alias("at"))
-    return rows.select(*keep, "code", "plain", F.explode("at").alias("at")).select(*keep, "at", _key(F.col("code"), F.col("plain"), F.col("at")).alias("key"))
+    return rows.select(*keep, "code", "plain", F.explode("at").alias("at")).select(*keep, "at", _key(F.col("code"), F.col("plain"), F.col("at")).alias("key"), _exact(F.col("plain"), F.col("at")).alias("exact"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000, any_case: bool = False) -> DataFrame:
     """Pairs of a document and an item that leaked into it: doc_id, item_id, n_windows, n_matched, n_slots, n_agreeing, verbatim.
 
     First, windows of all documents are joined with a few of each item's windows: the rarest among all items, one more than
@@ -69,6 +74,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     join is broadcast while the windows number at most `most_broadcast`, else shuffled. Then each candidate pair is checked
     with all of the item's windows. `verbatim` tells that all slots have the item's own values.
 
+    Only a capital letter tells a name, so a copy in other letter case has other templates. With `any_case`, a window also
+    occurs in a document that has its very words in any letter case. New values and another case in one window stay unseen.
+
     Rows with a null id are left out; null or empty texts and those of fewer than five words have no windows, so they match
     nothing; repeated rows count once, and rows that share an id are judged one by one, the best counts; other columns are
     ignored; without documents or items the result is empty.
@@ -76,19 +84,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).where(f"item_id is not null and size(words) >= {WIDTH}")
     items = items.dropDuplicates(["item_id"])
-    parts = _windows(items, "item_id").groupBy("item_id", "key").agg(F.min("at").alias("at"))
+    parts = _windows(items, "item_id").groupBy("item_id", "key").agg(F.collect_set("exact").alias("exacts"))
     by_item, by_key = Window.partitionBy("item_id"), Window.partitionBy("key")
     parts = parts.withColumn("n_windows", F.count("*").over(by_item)).withColumn("shared_by", F.count("*").over(by_key))
     parts = parts.withColumn("rank", F.row_number().over(by_item.orderBy("shared_by", "key")))
-    anchors = checkpoint(parts.where(F.col("rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * threshold) + 1).select("item_id", F.col("key").alias("anchor")))
+    hashes = F.array_union(F.array("key"), "exacts") if any_case else F.array("key")
+    anchors = checkpoint(parts.where(F.col("rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * threshold) + 1).select("item_id", F.explode(hashes).alias("anchor")))
     if anchors.count() <= most_broadcast:
         anchors = F.broadcast(anchors)
-    found = _windows(rows.select("doc_id", _words(F.col("text")).alias("words")), "doc_id").join(anchors, F.col("key") == F.col("anchor"))
+    found = _windows(rows.select("doc_id", _words(F.col("text")).alias("words")), "doc_id")
+    if any_case:
+        found = found.select("doc_id", F.explode(F.array_distinct(F.array("key", "exact"))).alias("key"))
+    found = found.join(anchors, F.col("key") == F.col("anchor"))
     pairs = checkpoint(found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).drop("n"))
 
     code, plain = _templates(F.col("words"))
     keys = F.coalesce(F.transform(_positions(F.col("words")), lambda k: _key(F.col("code"), F.col("plain"), k)), F.array().cast("array<long>"))
-    exact = F.coalesce(F.transform(_positions(F.col("words")), lambda k: F.xxhash64(*(F.col("plain")[k + j] for j in range(WIDTH)))), F.array().cast("array<long>"))
+    exact = F.coalesce(F.transform(_positions(F.col("words")), lambda k: _exact(F.col("plain"), k)), F.array().cast("array<long>"))
 
     def full(df: DataFrame, *c: str) -> DataFrame:
         df = _settled(_settled(df, "words").select(*c, "words", code.alias("code"), plain.alias("plain")), "code", "plain")
@@ -101,7 +113,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     of_item = full(items, "item_id").select(F.col("item_id").alias("i"), F.col("words").alias("own"), F.col("code").alias("own_code"), F.col("keys").alias("own_keys"), F.col("exact").alias("own_exact"))
     both = both.join(of_item, F.col("item_id") == F.col("i"))
     distinct = F.array_distinct("own_keys")
-    both = both.withColumn("n_windows", F.size(distinct).cast("long")).withColumn("n_matched", F.size(F.array_intersect(distinct, F.col("keys"))).cast("long"))
+    matched = F.array_intersect(distinct, F.col("keys"))
+    if any_case:
+        both = _settled(both.withColumn("in_words", F.array_intersect("own_exact", "exact")), "in_words")
+        matched = F.array_union(matched, F.filter("own_keys", lambda _, k: F.array_contains("in_words", F.col("own_exact")[k])))
+    both = both.withColumn("n_windows", F.size(distinct).cast("long")).withColumn("n_matched", F.size(matched).cast("long"))
     both = both.where(F.col("n_matched") >= F.ceil(F.col("n_windows") * threshold))
     # a window is held against the place of its very words, if the document has them, else of its template
     at = F.zip_with("own_keys", "own_exact", lambda k, x: F.when(F.array_contains("exact", x), F.array_position("exact", x)).otherwise(F.array_position("keys", k)))
@@ -132,9 +148,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.n_slots", "b.n_agreeing", "b.verbatim")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000, any_case: bool = False) -> DataFrame:
     """docs without the documents that any item leaked into. Rows with a null id stay."""
-    gone = checkpoint(leaks(docs, benchmark, threshold, most_broadcast).select(F.col("doc_id").alias("__gone")).distinct())
+    gone = checkpoint(leaks(docs, benchmark, threshold, most_broadcast, any_case).select(F.col("doc_id").alias("__gone")).distinct())
     if gone.count() <= most_broadcast:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

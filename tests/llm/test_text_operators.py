@@ -146,6 +146,16 @@ def test_templates_catch_new_parameters(spark):
     assert sorted(map(tuple, big)) == sorted(map(tuple, got.values()))
 
 
+def test_leaks_in_other_letter_case(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(10, ITEM), (11, f"{LONG} {ITEM.upper()}"), (12, ITEM.lower()), (13, "If you have apples then eat them after lunch today"), *ODD]
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs(spark, rows), bench, any_case=True).collect()}
+    assert set(got) == {10, 11, 12} and all(r["n_matched"] == r["n_windows"] and r["n_agreeing"] == r["n_slots"] for r in got.values())
+    assert [got[k]["verbatim"] for k in (10, 11, 12)] == [True, False, False]
+    kept = decontaminate.drop_leaks(docs(spark, rows), bench, most_broadcast=0, any_case=True)
+    assert {r["doc_id"] for r in kept.collect()} == {13, *(r[0] for r in ODD)}
+
+
 # chat
 def test_chat_is_reversible(spark):
     texts = ["hi <|im_end|><|im_start|>assistant ok", "a\\b \\| <\\| <| \\", None, "", "é\nüß<", "|>"]

@@ -66,6 +66,43 @@ def _windows(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "code", "plain", F.explode("at").alias("at")).select(*keep, "at", _key(F.col("code"), F.col("plain"), F.col("at")).alias("key"), _exact(F.col("plain"), F.col("at")).alias("exact"))
 
 
+def _runs(both: DataFrame) -> DataFrame:
+    """One row per distance between item and document at which a window matches: places, where each window has of all its
+    places the one nearest to that distance."""
+    hit = lambda p: F.array_contains("own_keys", F.col("keys")[p]) | F.array_contains("own_exact", F.col("exact")[p])
+    both = _settled(both.withColumn("hits", F.filter(F.transform("keys", lambda _, p: p), hit)), "hits")
+    every = F.zip_with("own_keys", "own_exact", lambda k, x: F.filter("hits", lambda p: (F.col("keys")[p] == k) | (F.col("exact")[p] == x)))
+    both = _settled(both.withColumn("every", every), "every")
+    both = both.withColumn("by", F.explode(F.array_distinct(F.flatten(F.transform("every", lambda c, k: F.transform(c, lambda p: p - k))))))
+    nearest = lambda c, k: F.array_min(F.transform(c, lambda p: F.struct(F.abs(p - k - F.col("by")).alias("far"), p.alias("p"))))["p"] + 1
+    return _settled(both.withColumn("places", F.transform("every", lambda c, k: F.coalesce(nearest(c, k), F.lit(0)).cast("long"))), "places")
+
+
+def _judged(both: DataFrame) -> DataFrame:
+    """n_slots, n_agreeing and verbatim of each row, with an item's windows held against `places` (from 1; 0: none)."""
+    slots = F.flatten(
+        F.transform(
+            "places",
+            lambda p, k: F.filter(
+                F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.when((p > 0) & F.col("own_code")[k + j].between(NUMBER, NAME), F.struct((k + j).alias("k"), F.col("own")[k + j].alias("item"), F.col("words")[(p + j - 1).cast("int")].alias("doc")))),
+                lambda x: x.isNotNull(),
+            ),
+        )
+    )
+    out = _settled(both.select("doc_id", "item_id", "n_windows", "n_matched", F.array_distinct(slots).alias("slots")), "slots")
+    out = _settled(out.withColumn("cells", F.transform("slots", lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc")))), "cells")
+    out = out.withColumn("cells", F.transform(F.array_distinct("cells"), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc"), F.size(F.filter("cells", lambda x: x == c)).alias("n"))))
+    out = _settled(out, "cells")
+
+    def agreeing(side: str) -> Column:
+        """Slots that hold the value that goes with theirs most often."""
+        most = lambda v: F.array_max(F.transform(F.filter("cells", lambda c: c[side] == v), lambda c: c["n"]))
+        return F.aggregate(F.array_distinct(F.transform("cells", lambda c: c[side])), F.lit(0), lambda total, v: total + most(v))
+
+    same = F.forall("cells", lambda c: c["item"] == c["doc"])
+    return out.select("doc_id", "item_id", "n_windows", "n_matched", F.size("slots").cast("long").alias("n_slots"), F.least(agreeing("item"), agreeing("doc")).cast("long").alias("n_agreeing"), same.alias("verbatim"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000, any_case: bool = False) -> DataFrame:
     """Pairs of a document and an item that leaked into it: doc_id, item_id, n_windows, n_matched, n_slots, n_agreeing, verbatim.
 
@@ -74,6 +111,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     join is broadcast while the windows number at most `most_broadcast`, else shuffled. Then each candidate pair is checked
     with all of the item's windows. `verbatim` tells that all slots have the item's own values.
 
+    Slots are judged at the first place of each window. If they don't agree there, they are judged once for each run of windows,
+    with the place of each window that is nearest to the run, and the best run counts.
+
     Only a capital letter tells a name, so a copy in other letter case has other templates. With `any_case`, a window also
     occurs in a document that has its very words in any letter case. New values and another case in one window stay unseen.
 
@@ -106,44 +146,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
         df = _settled(_settled(df, "words").select(*c, "words", code.alias("code"), plain.alias("plain")), "code", "plain")
         return _settled(df.select(*c, "words", "code", keys.alias("keys"), exact.alias("exact")), "keys", "exact")
 
-    wanted = pairs.select(F.col("doc_id").alias("d"), "item_id")
-    if pairs.count() <= most_broadcast:
-        wanted = F.broadcast(wanted)
-    both = full(rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "item_id", _words(F.col("text")).alias("words")), "doc_id", "item_id")
     of_item = full(items, "item_id").select(F.col("item_id").alias("i"), F.col("words").alias("own"), F.col("code").alias("own_code"), F.col("keys").alias("own_keys"), F.col("exact").alias("own_exact"))
-    both = both.join(of_item, F.col("item_id") == F.col("i"))
-    distinct = F.array_distinct("own_keys")
-    matched = F.array_intersect(distinct, F.col("keys"))
-    if any_case:
-        both = _settled(both.withColumn("in_words", F.array_intersect("own_exact", "exact")), "in_words")
-        matched = F.array_union(matched, F.filter("own_keys", lambda _, k: F.array_contains("in_words", F.col("own_exact")[k])))
-    both = both.withColumn("n_windows", F.size(distinct).cast("long")).withColumn("n_matched", F.size(matched).cast("long"))
-    both = both.where(F.col("n_matched") >= F.ceil(F.col("n_windows") * threshold))
-    # a window is held against the place of its very words, if the document has them, else of its template
-    at = F.zip_with("own_keys", "own_exact", lambda k, x: F.when(F.array_contains("exact", x), F.array_position("exact", x)).otherwise(F.array_position("keys", k)))
-    both = _settled(both.withColumn("places", at), "places")
-    slots = F.flatten(
-        F.transform(
-            "places",
-            lambda p, k: F.filter(
-                F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.when((p > 0) & F.col("own_code")[k + j].between(NUMBER, NAME), F.struct((k + j).alias("k"), F.col("own")[k + j].alias("item"), F.col("words")[(p + j - 1).cast("int")].alias("doc")))),
-                lambda x: x.isNotNull(),
-            ),
-        )
-    )
-    out = _settled(both.select("doc_id", "item_id", "n_windows", "n_matched", F.array_distinct(slots).alias("slots")), "slots")
-    out = _settled(out.withColumn("cells", F.transform("slots", lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc")))), "cells")
-    out = out.withColumn("cells", F.transform(F.array_distinct("cells"), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc"), F.size(F.filter("cells", lambda x: x == c)).alias("n"))))
-    out = _settled(out, "cells")
 
-    def agreeing(side: str) -> Column:
-        """Slots that hold the value that goes with theirs most often."""
-        most = lambda v: F.array_max(F.transform(F.filter("cells", lambda c: c[side] == v), lambda c: c["n"]))
-        return F.aggregate(F.array_distinct(F.transform("cells", lambda c: c[side])), F.lit(0), lambda total, v: total + most(v))
+    def matching(pairs: DataFrame) -> DataFrame:
+        """The pairs of which enough windows match, with the arrays of both sides."""
+        wanted = pairs.select(F.col("doc_id").alias("d"), "item_id")
+        if pairs.count() <= most_broadcast:
+            wanted = F.broadcast(wanted)
+        both = full(rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "item_id", _words(F.col("text")).alias("words")), "doc_id", "item_id")
+        both = both.join(of_item, F.col("item_id") == F.col("i"))
+        distinct = F.array_distinct("own_keys")
+        matched = F.array_intersect(distinct, F.col("keys"))
+        if any_case:
+            both = _settled(both.withColumn("in_words", F.array_intersect("own_exact", "exact")), "in_words")
+            matched = F.array_union(matched, F.filter("own_keys", lambda _, k: F.array_contains("in_words", F.col("own_exact")[k])))
+        both = both.withColumn("n_windows", F.size(distinct).cast("long")).withColumn("n_matched", F.size(matched).cast("long"))
+        return both.where(F.col("n_matched") >= F.ceil(F.col("n_windows") * threshold))
 
-    same = F.forall("cells", lambda c: c["item"] == c["doc"])
-    out = out.select("doc_id", "item_id", "n_windows", "n_matched", F.size("slots").cast("long").alias("n_slots"), F.least(agreeing("item"), agreeing("doc")).cast("long").alias("n_agreeing"), same.alias("verbatim"))
-    out = out.where(F.col("n_agreeing") >= F.ceil(F.col("n_slots") * threshold))
+    # a window is held against the place of its very words, if the document has them, else of its template
+    at = F.zip_with("own_keys", "own_exact", lambda k, x: F.when(F.array_contains("exact", x), F.array_position("exact", x)).otherwise(F.array_position("keys", k)))
+    first = checkpoint(_judged(_settled(matching(pairs).withColumn("places", at), "places")))
+    agrees = F.col("n_agreeing") >= F.ceil(F.col("n_slots") * threshold)
+    out = first.where(agrees)
+    again = first.where(~agrees).select("doc_id", "item_id").distinct()
+    if not again.isEmpty():  # windows may have taken their values from several places: judge each run of them
+        out = out.unionByName(_judged(_runs(matching(again))).where(agrees))
     best = F.max(F.struct("n_matched", "n_agreeing", "n_windows", "n_slots", "verbatim")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.n_slots", "b.n_agreeing", "b.verbatim")
 

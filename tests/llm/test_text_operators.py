@@ -156,6 +156,17 @@ def test_leaks_in_other_letter_case(spark):
     assert {r["doc_id"] for r in kept.collect()} == {13, *(r[0] for r in ODD)}
 
 
+def test_leak_after_a_part_of_another_variant(spark):
+    other = ITEM.replace("Alice", "Mary").replace("12", "7").replace("Bob", "Tom").replace("5 kg", "9 miles")
+    third = ITEM.replace("Alice", "Jane").replace("12", "30").replace("Bob", "Max").replace("5 kg", "4 feet")
+    half = " ".join(third.split()[:14])
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(10, other), (11, f"{half}. {other}"), (12, f"{half}. {half}. {LONG} {other} {half}"), (13, half)]
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == {10, 11, 12}
+    assert all(tuple(got[k])[1:] == tuple(got[10])[1:] for k in (11, 12))
+
+
 # chat
 def test_chat_is_reversible(spark):
     texts = ["hi <|im_end|><|im_start|>assistant ok", "a\\b \\| <\\| <| \\", None, "", "é\nüß<", "|>"]

@@ -89,7 +89,7 @@ def _judged(both: DataFrame) -> DataFrame:
             ),
         )
     )
-    out = _settled(both.select("doc_id", "item_id", "n_windows", "n_matched", F.array_distinct(slots).alias("slots")), "slots")
+    out = _settled(both.select("doc_id", "item_id", "row", "n_windows", "n_matched", F.array_distinct(slots).alias("slots")), "slots")
     out = _settled(out.withColumn("cells", F.transform("slots", lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc")))), "cells")
     out = out.withColumn("cells", F.transform(F.array_distinct("cells"), lambda c: F.struct(c["item"].alias("item"), c["doc"].alias("doc"), F.size(F.filter("cells", lambda x: x == c)).alias("n"))))
     out = _settled(out, "cells")
@@ -100,7 +100,7 @@ def _judged(both: DataFrame) -> DataFrame:
         return F.aggregate(F.array_distinct(F.transform("cells", lambda c: c[side])), F.lit(0), lambda total, v: total + most(v))
 
     same = F.forall("cells", lambda c: c["item"] == c["doc"])
-    return out.select("doc_id", "item_id", "n_windows", "n_matched", F.size("slots").cast("long").alias("n_slots"), F.least(agreeing("item"), agreeing("doc")).cast("long").alias("n_agreeing"), same.alias("verbatim"))
+    return out.select("doc_id", "item_id", "row", "n_windows", "n_matched", F.size("slots").cast("long").alias("n_slots"), F.least(agreeing("item"), agreeing("doc")).cast("long").alias("n_agreeing"), same.alias("verbatim"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000, any_case: bool = False) -> DataFrame:
@@ -118,25 +118,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     occurs in a document that has its very words in any letter case. New values and another case in one window stay unseen.
 
     Rows with a null id are left out; null or empty texts and those of fewer than five words have no windows, so they match
-    nothing; repeated rows count once, and rows that share an id are judged one by one, the best counts; other columns are
+    nothing; repeated rows count once, and rows that share an id, in either table, are judged one by one, the best counts; other columns are
     ignored; without documents or items the result is empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).where(f"item_id is not null and size(words) >= {WIDTH}")
-    items = items.dropDuplicates(["item_id"])
-    parts = _windows(items, "item_id").groupBy("item_id", "key").agg(F.collect_set("exact").alias("exacts"))
-    by_item, by_key = Window.partitionBy("item_id"), Window.partitionBy("key")
+    items = checkpoint(items.dropDuplicates(["item_id", "words"]).withColumn("row", F.monotonically_increasing_id()))
+    parts = _windows(items, "row").groupBy("row", "key").agg(F.collect_set("exact").alias("exacts"))
+    by_item, by_key = Window.partitionBy("row"), Window.partitionBy("key")
     parts = parts.withColumn("n_windows", F.count("*").over(by_item)).withColumn("shared_by", F.count("*").over(by_key))
     parts = parts.withColumn("rank", F.row_number().over(by_item.orderBy("shared_by", "key")))
     hashes = F.array_union(F.array("key"), "exacts") if any_case else F.array("key")
-    anchors = checkpoint(parts.where(F.col("rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * threshold) + 1).select("item_id", F.explode(hashes).alias("anchor")))
+    anchors = checkpoint(parts.where(F.col("rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * threshold) + 1).select("row", F.explode(hashes).alias("anchor")))
     if anchors.count() <= most_broadcast:
         anchors = F.broadcast(anchors)
     found = _windows(rows.select("doc_id", _words(F.col("text")).alias("words")), "doc_id")
     if any_case:
         found = found.select("doc_id", F.explode(F.array_distinct(F.array("key", "exact"))).alias("key"))
     found = found.join(anchors, F.col("key") == F.col("anchor"))
-    pairs = checkpoint(found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).drop("n"))
+    pairs = checkpoint(found.groupBy("doc_id", "row").agg(F.count("*").alias("n")).drop("n"))
 
     code, plain = _templates(F.col("words"))
     keys = F.coalesce(F.transform(_positions(F.col("words")), lambda k: _key(F.col("code"), F.col("plain"), k)), F.array().cast("array<long>"))
@@ -146,15 +146,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
         df = _settled(_settled(df, "words").select(*c, "words", code.alias("code"), plain.alias("plain")), "code", "plain")
         return _settled(df.select(*c, "words", "code", keys.alias("keys"), exact.alias("exact")), "keys", "exact")
 
-    of_item = full(items, "item_id").select(F.col("item_id").alias("i"), F.col("words").alias("own"), F.col("code").alias("own_code"), F.col("keys").alias("own_keys"), F.col("exact").alias("own_exact"))
+    of_item = full(items, "item_id", "row").select("item_id", F.col("row").alias("i"), F.col("words").alias("own"), F.col("code").alias("own_code"), F.col("keys").alias("own_keys"), F.col("exact").alias("own_exact"))
 
     def matching(pairs: DataFrame) -> DataFrame:
         """The pairs of which enough windows match, with the arrays of both sides."""
-        wanted = pairs.select(F.col("doc_id").alias("d"), "item_id")
+        wanted = pairs.select(F.col("doc_id").alias("d"), "row")
         if pairs.count() <= most_broadcast:
             wanted = F.broadcast(wanted)
-        both = full(rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "item_id", _words(F.col("text")).alias("words")), "doc_id", "item_id")
-        both = both.join(of_item, F.col("item_id") == F.col("i"))
+        both = full(rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "row", _words(F.col("text")).alias("words")), "doc_id", "row")
+        both = both.join(of_item, F.col("row") == F.col("i"))
         distinct = F.array_distinct("own_keys")
         matched = F.array_intersect(distinct, F.col("keys"))
         if any_case:
@@ -168,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     first = checkpoint(_judged(_settled(matching(pairs).withColumn("places", at), "places")))
     agrees = F.col("n_agreeing") >= F.ceil(F.col("n_slots") * threshold)
     out = first.where(agrees)
-    again = first.where(~agrees).select("doc_id", "item_id").distinct()
+    again = first.where(~agrees).select("doc_id", "row").distinct()
     if not again.isEmpty():  # windows may have taken their values from several places: judge each run of them
         out = out.unionByName(_judged(_runs(matching(again))).where(agrees))
     best = F.max(F.struct("n_matched", "n_agreeing", "n_windows", "n_slots", "verbatim")).alias("b")

@@ -167,6 +167,14 @@ def test_leak_after_a_part_of_another_variant(spark):
     assert all(tuple(got[k])[1:] == tuple(got[10])[1:] for k in (11, 12))
 
 
+def test_every_text_of_an_item_id_counts(spark):
+    texts = [ITEM, "The train to the north leaves the old station at 9 and reaches the harbour 40 minutes later each day", "How many of the 60 books on the shelf were read by Carol before the library closed its doors"]
+    bench = spark.createDataFrame([*((1, t) for t in texts), (1, ITEM), (2, texts[1])], "item_id long, text string")
+    rows = [(10 + k, f"So it goes. {t}") for k, t in enumerate(texts)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(10, 1), (11, 1), (12, 1), (11, 2)}
+
+
 # chat
 def test_chat_is_reversible(spark):
     texts = ["hi <|im_end|><|im_start|>assistant ok", "a\\b \\| <\\| <| \\", None, "", "é\nüß<", "|>"]

@@ -291,7 +291,8 @@ def _suspects(texts: pa.Array) -> list[int]:
 
 
 def train(docs: DataFrame, most: int = 2000) -> Crf:
-    """Learns from the base spans of at most `most` documents that have any, chosen by a hash of their text."""
+    """Learns from the base spans of at most `most` documents that have any, chosen by a hash of their text, and from all nodes of
+    each of them, so the driver holds as many rows as these documents have nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +302,7 @@ def train(docs: DataFrame, most: int = 2000) -> Crf:
                 text = texts[k].as_py()
                 if base := base_spans(text):
                     order.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest())
-                    rows.append(training_rows(Graph(text, base))[:500].astype(np.float32).tobytes())
+                    rows.append(training_rows(Graph(text, base)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.string()), pa.array(rows, pa.binary())], names=["order", "rows"])
 
     small_batches(docs.sparkSession)

@@ -84,6 +84,14 @@ def test_spans_are_added_where_tokens_repeat(spark):
     assert pii.personal_data(docs(spark, [])).count() == 0 and pii.redact_documents(docs(spark, [])).count() == 0
 
 
+def test_the_field_learns_from_whole_documents(spark):
+    text = " ".join([*(f"room {k} of" for k in range(700)), *(f"mail user{k}@example.com or" for k in range(40))])
+    rows = pii.training_rows(pii.Graph(text, pii.base_spans(text)))
+    assert len(rows) > 700 and len(set(rows[:500, 0])) < len(set(rows[:, 0]))
+    got, whole = pii.train(docs(spark, [(1, text)])), pii.fit(rows)
+    assert np.allclose(got.unary, whole.unary) and np.allclose(got.chain, whole.chain) and np.allclose(got.skip, whole.skip)
+
+
 def test_messages_settle_on_a_consistent_label():
     skip = 3 * np.eye(pii.N_LABELS)
     crf = pii.Crf(np.zeros((pii.N_LABELS, pii.N_SHAPE)), np.zeros((5, 5)), skip)

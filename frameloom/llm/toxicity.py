@@ -87,7 +87,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """toxic 0 or 1: a labelled text; 2 and 3: a sentence and its rewriting, one after the other."""
     for batch in batches:
         for lo, hi, texts in text_slices(batch.column("text")):
-            swaps = [t for x in texts.to_pylist() for pair in counterfactuals(x)[:20] for t in pair]
+            swaps = [t for x in texts.to_pylist() for pair in counterfactuals(x) for t in pair]
             both = pa.concat_arrays([texts, pa.array(swaps, pa.large_string())])
             f, v = _as_bytes(*features(both), len(both))
             kind = pa.array([*batch.column("toxic").slice(lo, hi - lo).to_pylist(), *([2, 3] * (len(swaps) // 2))], pa.int32())
@@ -172,7 +172,8 @@ def _threshold(z: np.ndarray, y: np.ndarray, b: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> Model:
-    """Learns from labelled rows outside the held-out fold: at most `most_each` of either label, chosen by a hash of doc_id.
+    """Learns from labelled rows outside the held-out fold: at most `most_each` of either label, chosen by a hash of doc_id,
+    and all rewritten sentence pairs of each of them.
 
     Rows with a null doc_id or label are left out; of several labels for an id the highest counts.
     """

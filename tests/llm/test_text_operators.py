@@ -111,6 +111,15 @@ def sentence(rng, n=12):
     return " ".join(f"w{k}" for k in rng.integers(0, 60, n))
 
 
+def test_all_sentences_that_name_a_group_count():
+    import pyarrow as pa
+
+    text = " ".join(f"The women of house {k} sing." for k in range(30))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([text, "Nobody is named."])], names=["toxic", "text"])
+    kinds = [k for b in toxicity._training_rows(iter([batch])) for k in b.column("toxic").to_pylist()]
+    assert kinds == [0, 1] + [2, 3] * 60
+
+
 def test_group_names_carry_no_weight(spark):
     rng = np.random.default_rng(0)
     rows, labels = [], []

@@ -67,13 +67,14 @@ def _windows(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _runs(both: DataFrame) -> DataFrame:
-    """One row per distance between item and document at which a window matches: places, where each window has of all its
-    places the one nearest to that distance."""
+    """One row per distance between item and document at which a window matches whose template the item has once: places,
+    where each window has of all its places the one nearest to that distance. Templates that repeat tell no distance."""
     hit = lambda p: F.array_contains("own_keys", F.col("keys")[p]) | F.array_contains("own_exact", F.col("exact")[p])
     both = _settled(both.withColumn("hits", F.filter(F.transform("keys", lambda _, p: p), hit)), "hits")
     every = F.zip_with("own_keys", "own_exact", lambda k, x: F.filter("hits", lambda p: (F.col("keys")[p] == k) | (F.col("exact")[p] == x)))
-    both = _settled(both.withColumn("every", every), "every")
-    both = both.withColumn("by", F.explode(F.array_distinct(F.flatten(F.transform("every", lambda c, k: F.transform(c, lambda p: p - k))))))
+    once = F.transform("own_keys", lambda k: F.size(F.filter("own_keys", lambda x: x == k)) == 1)
+    both = _settled(both.withColumn("every", every).withColumn("once", once), "every", "once")
+    both = both.withColumn("by", F.explode(F.array_distinct(F.flatten(F.transform("every", lambda c, k: F.transform(F.filter(c, lambda _: F.col("once")[k]), lambda p: p - k))))))
     nearest = lambda c, k: F.array_min(F.transform(c, lambda p: F.struct(F.abs(p - k - F.col("by")).alias("far"), p.alias("p"))))["p"] + 1
     return _settled(both.withColumn("places", F.transform("every", lambda c, k: F.coalesce(nearest(c, k), F.lit(0)).cast("long"))), "places")
 
@@ -112,7 +113,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     with all of the item's windows. `verbatim` tells that all slots have the item's own values.
 
     Slots are judged at the first place of each window. If they don't agree there, they are judged once for each run of windows,
-    with the place of each window that is nearest to the run, and the best run counts.
+    with the place of each window that is nearest to the run, and the best run counts. An item whose windows all have templates
+    that it repeats has no runs, so it is judged at first places only.
 
     Only a capital letter tells a name, so a copy in other letter case has other templates. With `any_case`, a window also
     occurs in a document that has its very words in any letter case. New values and another case in one window stay unseen.

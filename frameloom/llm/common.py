@@ -19,19 +19,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, by spark.checkpoint.dir; one of our own only for local masters, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/frameloom"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = f"file://{tempfile.gettempdir()}/frameloom"
     return named.rstrip("/")
 
 
+#: Folder of each kept table, by the table's DataFrame, and all folders that are still there.
+_KEPT: set[str] = set()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Computes df once: a Parquet table in the shared folder, read again. Its lineage ends there, so a lost executor costs
+    tasks of the last step alone; later readers take only the columns they need, and Spark knows the table's size in bytes."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "kept")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    _KEPT.add(path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes kept tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._kept_at)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes every table that was kept, once no result of the corpus operators is read any more."""
+    for path in list(_KEPT):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _KEPT.discard(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, text_slices, tidy
+from .common import checkpoint, forget, small_batches, text_slices, tidy
 from .graph import connected_components
 from .textvec import U64, mix, shingles
 
@@ -150,7 +150,7 @@ def _measured(pairs: DataFrame, store: DataFrame) -> DataFrame:
     return checkpoint(pairs.join(b, "b").join(a, "a").mapInArrow(tidy(_distances), "a long, b long, distance double"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, most_broadcast: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Classes of near-duplicate documents: doc_id, text_class (smallest id with the same text), class_id (smallest id reachable by links), kept.
 
     Links join two texts whose probability Jaccard similarity of five-word shingles (words are cut at ASCII white space, case
@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, most_broadcast: int
     rows = classes.select("uid", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("uid").alias("hub"), F.max("uid").alias("last")).where("hub < last")
     members = checkpoint(rows.join(buckets, "bucket"))
-    component = _links(docs, classes, members, threshold, most_broadcast)
+    component = _links(docs, classes, members, threshold)
+    forget(members)
     smallest = component.join(classes.select("uid", "rep"), component.node == F.col("uid"))
     smallest = smallest.join(smallest.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("uid", "class_id")
     named = classes.select("uid", "key", "rep").join(smallest, "uid", "left").select(F.col("key").alias("k"), "rep", F.coalesce("class_id", "rep").alias("class"))
@@ -187,42 +188,47 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, most_broadcast: int
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _links(docs, classes, members, threshold, most_broadcast):
+def _links(docs, classes, members, threshold):
     far = 1 - threshold + 1e-9
     candidates = checkpoint(members.select("uid").distinct().join(classes.drop("bands"), "uid"))
     wanted = candidates.select("uid", F.col("key").alias("k"), F.col("rep").alias("r"))
-    if candidates.count() <= most_broadcast:
-        wanted = F.broadcast(wanted)
     found = docs.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("r")))
     once = found.groupBy("uid").agg(F.first("text").alias("text"))  # repeated rows have the same id and text
     store = checkpoint(once.mapInArrow(tidy(_elements), "uid long, elements binary, weights binary"))
 
-    def components(known: DataFrame) -> DataFrame:
-        return connected_components(known.where(F.col("distance") <= far).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
     pairs = members.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("uid").alias("b")), F.struct(F.col("uid").alias("a"), F.col("last").alias("b")))).alias("p"))
     known = _measured(pairs.select("p.*").where("a < b").distinct(), store)
-    component = components(known)
-    m = members.join(component, members.uid == component.node, "left").select("bucket", "hub", "uid", F.coalesce("component", "uid").alias("component"))
+    component = connected_components(known.where(F.col("distance") <= far).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    m = members.select("bucket", "hub", "uid").join(component, F.col("uid") == F.col("node"), "left").select("bucket", "hub", "uid", F.coalesce("component", "uid").alias("component"))
     torn = m.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
     m = checkpoint(m.join(torn.select("bucket", "n"), "bucket"))
-    a = m.where(F.col("n") <= SMALL).select("bucket", F.col("uid").alias("a"), F.col("component").alias("ca"))
-    b = a.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"))
-    pairs = a.join(b, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-    pairs = checkpoint(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    links = [] if pairs.isEmpty() else [_measured(pairs, store).where(F.col("distance") <= far).select("a", "b")]
-    large = m.where(F.col("n") > SMALL)
+    small, large = m.where(F.col("n") <= SMALL), m.where(F.col("n") > SMALL)
+    links = []
+    if not small.isEmpty():
+        a = small.select("bucket", F.col("uid").alias("a"), F.col("component").alias("ca"))
+        b = small.select("bucket", F.col("uid").alias("b"), F.col("component").alias("cb"))
+        pairs = a.join(b, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        links.append(_measured(pairs, store).where(F.col("distance") <= far).select("a", "b"))
     if not large.isEmpty():
         links.append(_block_links(large, known, store, far))
     links = [x for x in links if not x.isEmpty()]
-    if not links:
-        return component
-    stars = component.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return components(reduce(DataFrame.union, links, stars).withColumn("distance", F.lit(0.0)))
+    if links:  # links lead from component to component, so their ends are named by component and the old stars stay
+        across = reduce(DataFrame.union, links)
+        for end in ("a", "b"):
+            at = component.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+            across = across.join(at, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        joined = connected_components(across.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "of")
+        old = component.select("node", F.col("component").alias("c")).union(joined.select("of", "of")).distinct()
+        component = checkpoint(old.join(joined.withColumnRenamed("component", "to"), F.col("c") == F.col("of"), "left").select("node", F.coalesce("to", "c").alias("component")))
+    forget(candidates, store, known, m)
+    return component
 
 
 #: Buckets of up to so many texts are compared as pairs, larger ones in blocks of at most BLOCK texts and BLOCK_BYTES.
-SMALL, BLOCK, BLOCK_BYTES = 64, 128, 4 << 20
+SMALL, BLOCK, BLOCK_BYTES = 64, 256, 4 << 20
+#: Distances to a hub are cut into so many bins; texts of bins too far apart can't be linked.
+BINS = 10
 
 
 def _block_links(large: DataFrame, known: DataFrame, store: DataFrame, far: float) -> DataFrame:
@@ -230,7 +236,7 @@ def _block_links(large: DataFrame, known: DataFrame, store: DataFrame, far: floa
     their distance to the hub; only blocks of texts outside of the group's largest component are compared with others."""
     d = known.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "distance")
     group = large.select("hub", "uid", "component").distinct().join(d, ["hub", "uid"], "left")
-    group = checkpoint(group.select("hub", "uid", "component", F.floor(F.coalesce("distance", F.lit(0.0)) * 20).alias("bin")))
+    group = checkpoint(group.select("hub", "uid", "component", F.floor(F.coalesce("distance", F.lit(0.0)) * BINS).alias("bin")))
     main = group.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     rows = group.join(main, "hub").join(store, "uid").withColumn("off", F.col("component") != F.col("main"))
     place = ["hub", "off", "bin"]
@@ -240,7 +246,7 @@ def _block_links(large: DataFrame, known: DataFrame, store: DataFrame, far: floa
     names = blocks.select(F.concat_ws("/", *place, "part").alias("block"), *place)
     a, b = (names.select(*(F.col(c).alias(f"{c}_{s}") for c in names.columns)) for s in "ab")
     pairs = a.where("off_a").join(b, F.col("hub_a") == F.col("hub_b"))
-    pairs = pairs.where((~F.col("off_b") | (F.col("block_a") <= F.col("block_b"))) & (F.abs(F.col("bin_a") - F.col("bin_b")) <= int(far * 20) + 1)).select("block_a", "block_b")
+    pairs = pairs.where((~F.col("off_b") | (F.col("block_a") <= F.col("block_b"))) & (F.abs(F.col("bin_a") - F.col("bin_b")) <= int(far * BINS) + 1)).select("block_a", "block_b")
     side = lambda s: blocks.select(F.concat_ws("/", *place, "part").alias(f"block_{s}"), F.col("rows").alias(f"rows_{s}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,32 +266,54 @@ def _texts(rows: pa.ListScalar) -> dict:
     }
 
 
-def linked_texts(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between texts of two blocks and different components: enough of them that they join what all of them join."""
-    ea, eb = (np.concatenate(x["elements"]) for x in (a, b))
-    shared = np.intersect1d(ea, eb)
-    na, nb = (np.array([len(e) for e in x["elements"]]) for x in (a, b))
-    common = np.zeros((len(na), len(nb)), np.float32)
-    sides = []
-    for e, n in ((ea, na), (eb, nb)):
-        at = np.minimum(np.searchsorted(shared, e), max(len(shared) - 1, 0))
-        hit = shared[at] == e if len(shared) else np.zeros(len(e), bool)
-        sides.append((np.repeat(np.arange(len(n)), n)[hit], at[hit]))
+#: Up to so many pairs of weights, those of an element in either text, similarities of blocks are computed as matrices.
+COMBINATIONS = 64
+
+
+def similarities(a: dict, b: dict) -> np.ndarray:
+    """Exact similarity of each text of one block with each of another: shared elements are counted by their pair of weights,
+    as products of indicator matrices, and the sum over elements becomes one over pairs of weights. Where there are
+    too many pairs of weights, texts that share anything are compared one by one."""
+    sides = [[np.concatenate(x["elements"]), np.array([len(e) for e in x["elements"]])] for x in (a, b)]
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    for side, x in zip(sides, (a, b), strict=True):
+        weight = np.concatenate([np.ones(len(e), np.int32) if w is None else w for e, w in zip(x["elements"], x["weights"], strict=True)])
+        row = np.repeat(np.arange(len(side[1])), side[1])
+        at = np.minimum(np.searchsorted(shared, side[0]), max(len(shared) - 1, 0))
+        hit = shared[at] == side[0] if len(shared) else np.zeros(len(row), bool)
+        side += [np.bincount(row, weight, len(side[1])), row[hit], at[hit], weight[hit]]
+    (_, na, wa, *hits_a), (_, nb, wb, *hits_b) = sides
+    levels = [np.unique(h[2]) for h in (hits_a, hits_b)]
+    if len(levels[0]) * len(levels[1]) > COMBINATIONS:
+        out = np.zeros((len(na), len(nb)))
+        ones = lambda x, k: x["weights"][k] if x["weights"][k] is not None else np.ones(len(x["elements"][k]), np.int32)
+        for i in range(len(na)):
+            for j in range(len(nb)):
+                out[i, j] = similarity(a["elements"][i], ones(a, i), b["elements"][j], ones(b, j))
+        return out
+    count = {(x, y): np.zeros((len(na), len(nb))) for x in levels[0] for y in levels[1]}
     for lo in range(0, len(shared), 4096):  # a few thousand shared elements at a time, as dense columns
+        wide = min(4096, len(shared) - lo)
         parts = []
-        for (row, at), n in zip(sides, (na, nb), strict=True):
+        for (row, at, weight), n, of in zip((hits_a, hits_b), (na, nb), levels, strict=True):
             use = (at >= lo) & (at < lo + 4096)
-            x = np.zeros((len(n), min(4096, len(shared) - lo)), np.float32)
-            x[row[use], at[use] - lo] = 1
-            parts.append(x)
-        common += parts[0] @ parts[1].T
-    link = common / (na[:, None] + nb[None] - common) >= threshold - 1e-6
-    for side, other in ((0, 1), (1, 0)):  # weights change the similarity: exact by pair where there is any overlap
-        for i in [k for k, w in enumerate((a, b)[side]["weights"]) if w is not None]:
-            for j in np.flatnonzero((common if side == 0 else common.T)[i]):
-                x, y = (i, j) if side == 0 else (j, i)
-                wa, wb = (s["weights"][k] if s["weights"][k] is not None else np.ones(len(s["elements"][k]), np.int32) for s, k in ((a, x), (b, y)))
-                link[x, y] = similarity(a["elements"][x], wa, b["elements"][y], wb) >= threshold
+            part = np.zeros((len(of), len(n), wide), np.float32)
+            part[np.searchsorted(of, weight[use]), row[use], at[use] - lo] = 1
+            parts.append(part)
+        for k, x in enumerate(levels[0]):
+            for m, y in enumerate(levels[1]):
+                count[x, y] += parts[0][k] @ parts[1][m].T
+    only_a = wa[:, None] - sum((x * n for (x, _), n in count.items()), np.zeros((len(na), len(nb))))
+    only_b = wb[None] - sum((y * n for (_, y), n in count.items()), np.zeros((len(na), len(nb))))
+    out = np.zeros((len(na), len(nb)))
+    for (x, y), n in count.items():
+        out += n / (only_a / x + only_b / y + sum(m * max(u / x, v / y) for (u, v), m in count.items())).clip(1e-300)
+    return out
+
+
+def linked_texts(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between texts of two blocks and different components: enough of them that they join what all of them join."""
+    link = similarities(a, b) >= threshold
     link &= a["component"][:, None] != b["component"][None]
     label_a, label_b = a["component"].copy(), b["component"].copy()
     top = np.iinfo(np.int64).max
@@ -299,25 +327,25 @@ def linked_texts(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.nda
     return np.concatenate([m[0] for m in moved]), np.concatenate([m[1] for m in moved])
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, most_broadcast: int = 200_000) -> DataFrame:
-    """docs without the documents that near_duplicates doesn't keep; of rows that repeat an id and its text one stays."""
-    found = checkpoint(near_duplicates(docs, threshold).select("doc_id", "key", "kept"))
+def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs without the documents that near_duplicates doesn't keep; of rows that repeat an id and its text one stays.
+
+    All columns stay, whatever their names. Null, empty and blank texts are near-duplicates of nothing and stay, repeated or
+    not; rows with a null doc_id count as others, and stay if no copy of theirs has an id; an empty table stays empty.
+    """
+    found = near_duplicates(docs, threshold)
     empty = F.unhex(F.md5(F.lit("")))
-    text_key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    gone = found.where("not kept").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.lit(True).alias("gone")).distinct()
+    named = lambda df, gone: df.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.lit(gone).alias("__gone"))
+    gone = named(found.where("not kept"), True).distinct()
     again = found.where(F.col("kept") & (F.col("key") != empty)).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    again = again.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.lit(False).alias("gone"))
-    marks = checkpoint(gone.union(again))
-    n_again = marks.where("not gone").count()
-    if marks.count() <= most_broadcast:
-        marks = F.broadcast(marks)
-    own = [F.col(c) for c in docs.columns]
+    marks = checkpoint(gone.union(named(again, False)))
+    text_key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = docs.withColumn("__key", text_key)
-    out = out.join(marks, (F.col("__key") == F.col("k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d")), "left")
-    once = out.where("gone is null")
-    if n_again:
-        once = once.unionByName(out.where("gone = false").dropDuplicates(["__key", "d"]))
-    return once.select(*own)
+    out = out.join(marks, (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
+    once = out.where("__gone is null")
+    if not marks.where("not __gone").isEmpty():
+        once = once.unionByName(out.where("__gone = false").dropDuplicates(["__key", "__d"]))
+    return once.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     rows += [(300 + k, t + " " + t) for k, (_, t) in enumerate(rows[60:90])]  # weighted: the same shingles twice
     monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "BLOCK", 7)
-    found = minhash.near_duplicates(docs(spark, rows), threshold=0.7, most_broadcast=0).collect()
+    found = minhash.near_duplicates(docs(spark, rows), threshold=0.7).collect()
     assert sorted(((r["doc_id"], r["class_id"]) for r in found), key=str) == brute_classes(rows, 0.7)
 
 

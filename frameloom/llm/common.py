@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def small_side(table: DataFrame, columns: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """`columns`, taken from a kept table, for a broadcast if the table's files hold at most `most_bytes`; else as it is, for a shuffled join."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(columns) if size <= most_bytes else columns
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes kept tables that nothing reads any more."""
     for table in tables:

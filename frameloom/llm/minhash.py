@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, forget, small_batches, text_slices, tidy
+from .common import checkpoint, forget, small_batches, small_side, text_slices, tidy
 from .graph import connected_components
 from .textvec import U64, mix, shingles
 
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def _links(docs, classes, members, threshold):
     far = 1 - threshold + 1e-9
     candidates = checkpoint(members.select("uid").distinct().join(classes.drop("bands"), "uid"))
-    wanted = candidates.select("uid", F.col("key").alias("k"), F.col("rep").alias("r"))
+    wanted = small_side(candidates, candidates.select("uid", F.col("key").alias("k"), F.col("rep").alias("r")))
     found = docs.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("r")))
     once = found.groupBy("uid").agg(F.first("text").alias("text"))  # repeated rows have the same id and text
     store = checkpoint(once.mapInArrow(tidy(_elements), "uid long, elements binary, weights binary"))
@@ -341,7 +341,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     marks = checkpoint(gone.union(named(again, False)))
     text_key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = docs.withColumn("__key", text_key)
-    out = out.join(marks, (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
+    out = out.join(small_side(marks, marks), (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
     once = out.where("__gone is null")
     if not marks.where("not __gone").isEmpty():
         once = once.unionByName(out.where("__gone = false").dropDuplicates(["__key", "__d"]))

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batch import scan, sums
+from .frames import fft
+
 
 def spectra(frames: DataFrame, keys: list[str], bins: int, length: int) -> DataFrame:
-    """Discrete Fourier transform of frames `v` as long rows (keys, bin, re, im)."""
-    rows = frames.select(*keys, F.posexplode("v").alias("i", "x"), F.sequence(F.lit(0), F.lit(bins - 1)).alias("bins"))
-    rows = rows.select(*keys, "i", "x", F.explode("bins").alias("bin"))
-    angle = F.col("i") * F.col("bin") * (-2 * math.pi / length)
-    return rows.groupBy(*keys, "bin").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
+    """Discrete Fourier transform of frames `v` (cut or filled to `length`) as long rows (keys, bin, re, im) of the first `bins` bins."""
+    z = fft(frames.select(*keys, "v"), length)
+    z = z.select(*keys, F.posexplode(F.arrays_zip(F.slice("re", 1, bins).alias("re"), F.slice("im", 1, bins).alias("im"))).alias("bin", "z"))
+    return z.select(*keys, "bin", "z.re", "z.im")
 
 
 def delay_and_sum(snapshots: DataFrame, delays: dict[int, float], rate: float, length: int) -> DataFrame:
@@ -24,35 +27,48 @@ def delay_and_sum(snapshots: DataFrame, delays: dict[int, float], rate: float, l
     return snapshots.groupBy("frame", "bin").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
 
 
+def snapshot_vectors(snapshots: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per frame and bin with the channels' values as vectors `re` and `im`, in the order of `chan` (arrays have few channels)."""
+    keys = keys or ["frame", "bin"]
+    out = snapshots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chan", "re", "im"))).alias("z"))
+    return out.select(*keys, F.transform("z", lambda z: z["re"]).alias("re"), F.transform("z", lambda z: z["im"]).alias("im"))
+
+
+def complex_of(rows: dict) -> np.ndarray:
+    return rows["re"] + 1j * rows["im"]
+
+
 def cross_spectra(snapshots: DataFrame) -> DataFrame:
-    """Mean over frames of x_a * conj(x_b) for channel pairs a <= b: (a, b, bin, re, im). Pairs of channels, which are few, not of rows."""
-    a = snapshots.select("frame", "bin", F.col("chan").alias("a"), F.col("re").alias("ra"), F.col("im").alias("ia"))
-    b = snapshots.select("frame", "bin", F.col("chan").alias("b"), F.col("re").alias("rb"), F.col("im").alias("ib"))
-    re, im = F.col("ra") * F.col("rb") + F.col("ia") * F.col("ib"), F.col("ia") * F.col("rb") - F.col("ra") * F.col("ib")
-    return a.join(b, ["frame", "bin"]).where("a <= b").groupBy("a", "b", "bin").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
+    """Mean over frames of x_a * conj(x_b) for channel pairs a <= b: (a, b, bin, re, im). All channels take part in all frames."""
+    v = snapshot_vectors(snapshots)
+
+    def run(rows: dict) -> np.ndarray:
+        x = complex_of(rows)
+        r = (x.T @ x.conj()).ravel()
+        return np.concatenate([[len(x)], r.real, r.imag])
+
+    s = sums(v.select("bin", "re", "im"), ["bin"], run)
+    n = F.sqrt((F.size("s") - 1) / 2).cast("int")
+    pairs = s.select("bin", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), (n * n - 1).cast("int"))).alias("k"))
+    a, b = F.floor(F.col("k") / F.col("n")).cast("long"), (F.col("k") % F.col("n")).cast("long")
+    re, im = F.get("s", F.col("k") + 1), F.get("s", F.col("k") + 1 + F.col("n") * F.col("n"))
+    return pairs.select(a.alias("a"), b.alias("b"), "bin", (re / F.col("s")[0]).alias("re"), (im / F.col("s")[0]).alias("im")).where("a <= b")
 
 
-def wiener_gain(powers: DataFrame, key: str, alpha: float = 0.9, floor: float = 0.1) -> DataFrame:
-    """Gain max(floor, 1 - noise / power), the noise being the exponential mean of the powers before."""
-    from .temporal import exponential_mean, ordered
+class _Nlms:
+    def __init__(self, taps: int, step: float, delta: float):
+        self.w, self.u, self.rate, self.delta = np.zeros(taps), np.zeros(taps), step, delta
 
-    noise = exponential_mean(powers, key, alpha).withColumnRenamed("y", "noise")
-    out = powers.join(noise, [key, "n"]).withColumn("noise", F.lag("noise", 1, 0.0).over(ordered(key)))
-    return out.withColumn("gain", F.when(F.col("x") > 0, F.greatest(F.lit(floor), 1 - F.col("noise") / F.col("x"))).otherwise(F.lit(floor)))
+    def step(self, rows: dict) -> dict:
+        e = np.empty(len(rows["x"]))
+        for k, (x, far) in enumerate(zip(rows["x"], rows["far"], strict=True)):
+            self.u = np.concatenate([[far], self.u[:-1]])
+            e[k] = x - self.w @ self.u
+            self.w = self.w + self.rate * e[k] * self.u / (self.delta + self.u @ self.u)
+        return {"e": e}
 
 
 def echo_canceller(df: DataFrame, key: str, taps: int = 4, step: float = 0.5, delta: float = 1e-3) -> DataFrame:
-    """Normalised LMS: predicts `x` from the last `taps` values of `far` and returns (key, n, e) with the error left. Sequential per stream."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        w, u, e = np.zeros(taps), np.zeros(taps), np.empty(len(pdf))
-        for k, (x, f) in enumerate(zip(pdf["x"].to_numpy(), pdf["far"].to_numpy(), strict=True)):
-            u = np.concatenate([[f], u[:-1]])
-            e[k] = x - w @ u
-            w = w + step * e[k] * u / (delta + u @ u)
-        return pd.DataFrame({key: pdf[key], "n": pdf["n"], "e": e})
-
-    return df.select(key, "n", "x", "far").groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, n long, e double")
+    """Normalised LMS: predicts `x` from the last `taps` values of `far` and returns (key, n, e) with the error left. A stream
+    passes in order, batch by batch, with the filter as its state."""
+    return scan(df.select(key, "n", "x", "far"), [key], ["n"], lambda: _Nlms(taps, step, delta), "e double", keep=["n"])

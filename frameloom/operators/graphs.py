@@ -1,24 +1,19 @@
 """Weighted graph algebra on edge tables (src, dst, isym, osym, cost) and final states (state, cost).
 
 Costs are negative logs; a path's cost is the sum of its edges' costs and its final cost. Symbol 0 is the empty one.
-Closures are driver loops of joins that stop once nothing changes; each round is cut by a reliable checkpoint.
+Closures are driver loops of joins that stop once nothing changes; each round ends in a table in the shared folder.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOG_ZERO = 1e10
-
+from .kept import forget, keep
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/frameloom")
-    return df.checkpoint(eager=True)
+LOG_ZERO = 1e10
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -40,42 +35,60 @@ def union(a: DataFrame, b: DataFrame, offset: int) -> DataFrame:
     return a.union(b.withColumn("src", F.col("src") + offset).withColumn("dst", F.col("dst") + offset)).union(start)
 
 
-def compose(a: DataFrame, b: DataFrame, width: int, start: tuple[int, int] = (0, 0), max_rounds: int = 200) -> DataFrame:
-    """Edges of the composition over the state pairs that can be reached (p * width + q, all q under width): a's output meets b's input.
+def compose(a: DataFrame, b: DataFrame, width: int, start: tuple[int, int] = (0, 0), finals: tuple[DataFrame, DataFrame] | None = None):
+    """Edges of the composition over the states that can be reached: a's output meets b's input.
 
-    An empty output of a moves a alone, an empty input of b moves b alone. Grown from the start in rounds of equi-joins."""
+    A state is (p, q, filter), numbered (p * width + q) * 3 + filter, with all q under width. The filter keeps one of the ways in which
+    empty symbols interleave: after a move of a alone (an empty output) only a may go on alone, after one of b alone (an empty
+    input) only b, until both move; an empty output meets an empty input only if neither has just moved alone. Grown from the start in
+    rounds of equi-joins over the states found last, for as many rounds as the longest path needs.
+    With `finals` of both, returns (edges, finals): a pair is final at the sum of the costs, whatever its filter.
+    """
     x = a.select(F.col("src").alias("p"), F.col("dst").alias("p2"), F.col("isym").alias("i"), F.col("osym").alias("m"), F.col("cost").alias("c1"))
     y = b.select(F.col("src").alias("q"), F.col("dst").alias("q2"), F.col("isym").alias("m"), F.col("osym").alias("o"), F.col("cost").alias("c2"))
     none = F.lit(0).cast("long")
-    columns = ("p", "q", "p2", "q2", "isym", "osym", "cost")
-    seen = cut(a.sparkSession.createDataFrame([start], "p long, q long"))
-    front, found = seen, None
-    for _ in range(max_rounds):
-        both = front.join(x.where("m <> 0"), "p").join(y, ["q", "m"]).select("p", "q", "p2", "q2", F.col("i").alias("isym"), F.col("o").alias("osym"), (F.col("c1") + F.col("c2")).alias("cost"))
-        of_a = front.join(x.where("m = 0"), "p").select("p", "q", "p2", F.col("q").alias("q2"), F.col("i").alias("isym"), none.alias("osym"), F.col("c1").alias("cost"))
-        of_b = front.join(y.where("m = 0"), "q").select("p", "q", F.col("p").alias("p2"), "q2", none.alias("isym"), F.col("o").alias("osym"), F.col("c2").alias("cost"))
-        new = cut(both.union(of_a.select(*columns)).union(of_b.select(*columns)))
-        found = new if found is None else found.union(new)
-        front = cut(new.select(F.col("p2").alias("p"), F.col("q2").alias("q")).distinct().join(seen, ["p", "q"], "left_anti"))
+    columns = ("p", "q", "f", "p2", "q2", "f2", "isym", "osym", "cost")
+    seen = front = keep(a.sparkSession.createDataFrame([(*start, 0)], "p long, q long, f int"))
+    parts = []
+    while True:
+        both = front.join(x, "p").join(y, ["q", "m"]).where("m <> 0 or f = 0")
+        both = both.select("p", "q", "f", "p2", "q2", F.lit(0).alias("f2"), F.col("i").alias("isym"), F.col("o").alias("osym"), (F.col("c1") + F.col("c2")).alias("cost"))
+        of_a = front.where("f <> 1").join(x.where("m = 0"), "p").select("p", "q", "f", "p2", F.col("q").alias("q2"), F.lit(2).alias("f2"), F.col("i").alias("isym"), none.alias("osym"), F.col("c1").alias("cost"))
+        of_b = front.where("f <> 2").join(y.where("m = 0"), "q").select("p", "q", "f", F.col("p").alias("p2"), "q2", F.lit(1).alias("f2"), none.alias("isym"), F.col("o").alias("osym"), F.col("c2").alias("cost"))
+        new = keep(both.union(of_a.select(*columns)).union(of_b.select(*columns)))
+        parts.append(new)
+        front = keep(new.select(F.col("p2").alias("p"), F.col("q2").alias("q"), F.col("f2").alias("f")).distinct().join(seen, ["p", "q", "f"], "left_anti"))
         if front.isEmpty():
-            return found.select((F.col("p") * width + F.col("q")).alias("src"), (F.col("p2") * width + F.col("q2")).alias("dst"), "isym", "osym", "cost")
-        seen = cut(seen.union(front))
-    raise RuntimeError(f"composition did not end in {max_rounds} rounds")
-
-
-def shortest(edges: DataFrame, start: int, max_rounds: int = 200) -> DataFrame:
-    """Least cost from start to every state that can be reached: (state, cost), by rounds over the states that became cheaper."""
-    steps = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
-    best = cut(edges.sparkSession.createDataFrame([(start, 0.0)], "state long, cost double"))
-    front = best
-    for _ in range(max_rounds):
-        new = front.join(steps, front.state == steps.src).groupBy("dst").agg(F.min(F.col("cost") + F.col("step")).alias("new"))
-        better = cut(new.join(best, new.dst == best.state, "left").where("cost is null or new < cost - 1e-12").select(F.col("dst").alias("state"), F.col("new").alias("cost")))
-        if better.isEmpty():
-            return best
-        best = cut(best.union(better).groupBy("state").agg(F.min("cost").alias("cost")))
-        front = better
-    raise RuntimeError(f"costs did not settle in {max_rounds} rounds")
+            break
+        seen = keep(seen.union(front))
+    state = lambda p, q, f: ((F.col(p) * width + F.col(q)) * 3 + F.col(f)).cast("long")
+    found = reduce(DataFrame.union, parts).select(state("p", "q", "f").alias("src"), state("p2", "q2", "f2").alias("dst"), "isym", "osym", "cost")
+    if finals is None:
+        return found
+    ends = seen.join(finals[0].select(F.col("state").alias("p"), F.col("cost").alias("c1")), "p").join(finals[1].select(F.col("state").alias("q"), F.col("cost").alias("c2")), "q")
+    return found, ends.select(state("p", "q", "f").alias("state"), (F.col("c1") + F.col("c2")).alias("cost"))
+
+
+def shortest(edges: DataFrame, start: int) -> DataFrame:
+    """Least cost from start to every state that can be reached: (state, cost), by rounds over the states that became cheaper, as many as the
+    longest of the cheapest paths has edges; a round is one aggregation of old and new costs. A loop of negative cost raises once no
+    path can be that long."""
+    steps = keep(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")))
+    best = keep(edges.sparkSession.createDataFrame([(start, 0.0, True)], "state long, cost double, fresh boolean"))
+    rounds = 0
+    while True:
+        new = best.where("fresh").join(steps, F.col("state") == F.col("src")).select(F.col("dst").alias("state"), F.lit(None).cast("double").alias("old"), (F.col("cost") + F.col("step")).alias("new"))
+        all_costs = best.select("state", F.col("cost").alias("old"), F.lit(None).cast("double").alias("new")).union(new).groupBy("state").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+        better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old") - 1e-12))
+        after = keep(all_costs.select("state", F.when(better, F.col("new")).otherwise(F.col("old")).alias("cost"), better.alias("fresh")))
+        forget(best)
+        best = after
+        rounds += 1
+        if not best.agg(F.max("fresh")).first()[0]:
+            forget(steps)
+            return best.select("state", "cost")
+        if rounds % 64 == 0 and rounds > best.count():
+            raise ValueError("a loop has a negative cost")
 
 
 def purge(edges: DataFrame, start: int, finals: DataFrame) -> DataFrame:
@@ -109,7 +122,7 @@ def forward_backward(edges: DataFrame, start: int, end: int, levels: DataFrame)
             sums = into.join(done.withColumnRenamed("state", "src"), "src").select("dst", (F.col("cost") + F.col("s")).alias("c"))
             low = sums.groupBy("dst").agg(F.min("c").alias("low"))
             new = sums.join(low, "dst").groupBy("dst").agg((F.min("low") - F.log(F.sum(F.exp(F.col("low") - F.col("c"))))).alias("s"))
-            done = cut(done.union(new.select(F.col("dst").alias("state"), "s")))
+            done = keep(done.union(new.select(F.col("dst").alias("state"), "s")))
         return done
 
     ahead = sweep(edges, start, list(range(1, top + 1)))

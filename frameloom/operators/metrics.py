@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 
 def snr(df: DataFrame, key: str, clean: str, noisy: str) -> DataFrame:
-    """10 log10 of the power of the clean signal over that of the difference, per stream."""
+    """10 log10 of the power of the clean signal over that of the difference, per stream; null where the signals don't differ."""
     d = F.col(noisy) - F.col(clean)
-    return df.groupBy(key).agg((10 * F.log10(F.sum(F.col(clean) * F.col(clean)) / F.sum(d * d))).alias("snr"))
+    return df.groupBy(key).agg((10 * F.log10(F.sum(F.col(clean) * F.col(clean)) / F.nullif(F.sum(d * d), F.lit(0.0)))).alias("snr"))
 
 
 def segmental_snr(df: DataFrame, key: str, clean: str, noisy: str, length: int, low: float = -10.0, high: float = 35.0) -> DataFrame:
-    """Mean over segments of `length` samples of the segment's ratio in dB, limited to low..high."""
+    """Mean over segments of `length` samples of the segment's ratio in dB, limited to low..high; a segment without a difference counts as high."""
     d = F.col(noisy) - F.col(clean)
-    each = df.groupBy(key, F.floor(F.col("n") / length).alias("segment")).agg((10 * F.log10(F.sum(F.col(clean) * F.col(clean)) / F.sum(d * d))).alias("snr"))
+    each = df.groupBy(key, F.floor(F.col("n") / length).alias("segment")).agg((10 * F.log10(F.sum(F.col(clean) * F.col(clean)) / F.nullif(F.sum(d * d), F.lit(0.0)))).alias("snr"), F.sum(d * d).alias("gap"))
+    each = each.withColumn("snr", F.when(F.col("gap") == 0, high).otherwise(F.coalesce("snr", F.lit(low))))
     return each.groupBy(key).agg(F.avg(F.greatest(F.lit(low), F.least(F.lit(high), F.col("snr")))).alias("snr"))
 
 

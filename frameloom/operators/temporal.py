@@ -1,13 +1,17 @@
 """Operators along time: streams are rows (key, n, ...) ordered by n within a key; joins and windows are on these columns.
 
-Windows are partitioned by the stream's key, so they scale with the number of streams; recursions fold a stream's array.
+Windows are partitioned by the stream's key, so they scale with the number of streams; recursions
+walk a stream in order and carry only their state from batch to batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import scan
+
 
 def ordered(key: str, n: str = "n"):
     return Window.partitionBy(key).orderBy(n)
@@ -19,9 +23,23 @@ def preemphasis(df: DataFrame, key: str, mu: float = 0.95) -> DataFrame:
 
 
 def fir(df: DataFrame, key: str, taps: list[float]) -> DataFrame:
-    """Sum of taps[k] * x[n - k]; 0 before the start."""
+    """Symmetric filter along time: sum over i from -h to h of taps[i + h] * x[n - i], for an odd number 2h + 1 of taps; x is a
+    number or a vector, filtered element by element. Before the start and after the end there are zeros."""
+    h = len(taps) // 2
+    if len(taps) != 2 * h + 1:
+        raise ValueError("the number of taps must be odd")
     w = ordered(key)
-    return df.withColumn("y", sum((c * F.lag("x", k, 0.0).over(w) for k, c in enumerate(taps)), F.lit(0.0)))
+    from .batch import is_vector
+
+    value = "v" if "v" in df.columns and is_vector(df, "v") else "x"
+    near = [(c, F.lag(value, k - h).over(w) if k >= h else F.lead(value, h - k).over(w)) for k, c in enumerate(taps)]
+    if value == "x":
+        return df.withColumn("y", sum((c * F.coalesce(x, F.lit(0.0)) for c, x in near), F.lit(0.0)))
+    out = df
+    for k, (_, x) in enumerate(near):
+        out = out.withColumn(f"__{k}", x)
+    total = F.transform("v", lambda _, i: sum((c * F.coalesce(F.get(F.col(f"__{k}"), i), F.lit(0.0)) for k, (c, _) in enumerate(near)), F.lit(0.0)))
+    return out.withColumn("v", total).drop(*(f"__{k}" for k in range(len(near))))
 
 
 def delta(df: DataFrame, key: str, width: int = 2) -> DataFrame:
@@ -48,17 +66,23 @@ def frames(df: DataFrame, key: str, length: int, shift: int, pad: bool = False)
 
 
 def stack(df: DataFrame, key: str, before: int, after: int) -> DataFrame:
-    """Concatenates the vectors from n - before to n + after; only where all of them exist."""
-    w = ordered(key).rowsBetween(-before, after)
-    out = df.withColumn("__l", F.collect_list("v").over(w))
-    return out.where(F.size("__l") == before + after + 1).withColumn("v", F.flatten("__l")).drop("__l")
+    """Concatenates the vectors from n - before to n + after; beyond the ends of a stream its first and last vector repeat."""
+    w = ordered(key)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = lambda k: F.coalesce(F.lag("v", -k).over(w), F.first("v").over(whole)) if k < 0 else F.coalesce(F.lead("v", k).over(w), F.last("v").over(whole)) if k else F.col("v")
+    near = [at(k) for k in range(-before, after + 1)]
+    return df.withColumn("__l", F.concat(*near)).withColumn("v", F.col("__l")).drop("__l")
+
+
+#: Variances below this count as this.
+VARIANCE_FLOOR = 1e-4
 
 
 def mean_normalised(df: DataFrame, key: str, variance: bool = True) -> DataFrame:
-    """Mean and, if asked for, variance normalisation of x over the stream."""
+    """Mean and, if asked for, variance normalisation of x over the stream, with a floor of 1e-4 under the variance."""
     w = Window.partitionBy(key)
     y = F.col("x") - F.avg("x").over(w)
-    return df.withColumn("y", y / F.stddev_pop("x").over(w) if variance else y)
+    return df.withColumn("y", y / F.sqrt(F.greatest(F.var_pop("x").over(w), F.lit(VARIANCE_FLOOR))) if variance else y)
 
 
 def range_normalised(df: DataFrame, key: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -68,30 +92,56 @@ def range_normalised(df: DataFrame, key: str, low: float = 0.0, high: float = 1.
 
 
 def adaptive_log(df: DataFrame, key: str, m: float = 1.0, a: float = 4.0) -> DataFrame:
-    """m * log10(x + max / 10^a), the maximum being that of the stream; 1 where the argument isn't positive."""
+    """m * log10(x + max / 10^a), the maximum being that of the stream; an argument that isn't positive counts as 1."""
     arg = F.col("x") + F.max("x").over(Window.partitionBy(key)) / 10.0**a
-    return df.withColumn("y", m * F.when(arg > 0, F.log10(arg)).otherwise(1.0))
+    return df.withColumn("y", m * F.log10(F.when(arg > 0, arg).otherwise(1.0)))
+
 
+class _Fold:
+    """Folds numbers in order: y = finish(state) after state = step(state, x)."""
 
-def recursion(df: DataFrame, key: str, start: Column, step, finish=None) -> DataFrame:
+    def __init__(self, start: float, step, finish):
+        self.state, self.next, self.finish = start, step, finish
+
+    def step(self, rows: dict) -> dict:
+        out = []
+        for x in rows["x"].tolist():
+            self.state = self.next(self.state, x)
+            out.append(self.finish(self.state))
+        return {"y": np.array(out, float)}
+
+
+def recursion(df: DataFrame, key: str, start: float, step, finish=None) -> DataFrame:
     """Folds a stream in order of n: state = step(state, x); returns (key, n, y) with y = finish(state) after each sample.
 
-    For recursions that no window expresses. A stream is one array while it is folded, so it must fit into a task."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("s"))
-    finish = finish or (lambda s: s)
-    zero = F.struct(start.alias("state"), F.array().cast("array<double>").alias("out"))
+    For recursions that no window expresses, on plain numbers. Samples come in batches and only the state is carried on."""
+    return scan(df.select(key, "n", "x"), [key], ["n"], lambda: _Fold(start, step, finish or (lambda s: s)), "y double", keep=["n"])
+
+
+class _Exponential:
+    """y[n] = alpha * y[n - 1] + (1 - alpha) * x[n] by blocks: within a block a product with powers of alpha, then the carry."""
+
+    BLOCK = 256
 
-    def fold(acc, s):
-        state = step(acc["state"], s["x"])
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(finish(state))).alias("out"))
+    def __init__(self, alpha: float):
+        self.last = 0.0
+        k = np.arange(self.BLOCK)
+        self.matrix = np.where(k[:, None] >= k, alpha ** np.maximum(k[:, None] - k, 0).astype(float), 0.0) * (1 - alpha)
+        self.carry = alpha ** (k + 1.0)
 
-    done = rows.select(key, "s", F.aggregate("s", zero, fold, lambda a: a["out"]).alias("out"))
-    return done.select(key, F.explode(F.arrays_zip(F.transform("s", lambda s: s["n"]).alias("n"), F.col("out").alias("y"))).alias("r")).select(key, "r.n", "r.y")
+    def step(self, rows: dict) -> dict:
+        out = []
+        for lo in range(0, len(rows["x"]), self.BLOCK):
+            x = rows["x"][lo : lo + self.BLOCK]
+            y = self.matrix[: len(x), : len(x)] @ x + self.carry[: len(x)] * self.last
+            self.last = float(y[-1])
+            out.append(y)
+        return {"y": np.concatenate(out)}
 
 
 def exponential_mean(df: DataFrame, key: str, alpha: float) -> DataFrame:
-    """y[n] = alpha * y[n - 1] + (1 - alpha) * x[n], from 0."""
-    return recursion(df, key, F.lit(0.0), lambda s, x: alpha * s + (1 - alpha) * x)
+    """y[n] = alpha * y[n - 1] + (1 - alpha) * x[n], from 0: (key, n, y). A stream passes in order, in blocks, with its last mean."""
+    return scan(df.select(key, "n", "x"), [key], ["n"], lambda: _Exponential(alpha), "y double", keep=["n"])
 
 
 def running_mean(df: DataFrame, key: str) -> DataFrame:

@@ -80,7 +80,8 @@ def test_compose(spark):
     a = spark.createDataFrame([(0, 1, 1, 5, 0.1), (1, 2, 2, 0, 0.2), (0, 2, 3, 6, 0.3)], EDGES)
     b = spark.createDataFrame([(0, 1, 5, 8, 1.0), (1, 1, 0, 9, 2.0)], EDGES)
     got = {(r["src"], r["dst"], r["isym"], r["osym"], round(r["cost"], 6)) for r in graphs.compose(a, b, 10).collect()}
-    assert got == {(0, 11, 1, 8, 1.1), (11, 21, 2, 0, 0.2), (11, 11, 0, 9, 2.0), (21, 21, 0, 9, 2.0)}
+    # states are (p * 10 + q) * 3 + filter: of the orders of empty symbols one is left, and an empty output may meet an empty input
+    assert got == {(0, 33, 1, 8, 1.1), (33, 65, 2, 0, 0.2), (33, 34, 0, 9, 2.0), (33, 63, 2, 9, 2.2), (34, 34, 0, 9, 2.0), (63, 64, 0, 9, 2.0), (64, 64, 0, 9, 2.0)}
 
 
 def test_files(spark, tmp_path):

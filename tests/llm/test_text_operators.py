@@ -100,6 +100,38 @@ def test_messages_settle_on_a_consistent_label():
     assert p[1].argmax() == 0 and p[1, 0] > 0.8 and abs(p[2] - 0.2).max() < 1e-9
 
 
+def test_messages_are_exact_on_a_small_field_without_loops():
+    rng = np.random.default_rng(5)
+    crf = pii.Crf(rng.normal(size=(pii.N_LABELS, pii.N_SHAPE)), rng.normal(size=(5, 5)), (lambda a: a + a.T)(rng.normal(size=(5, 5))))
+    text = "x bosbt.42@mail8.example.com y1 y2 z . bosbt.42 q 77"
+    g = pii.Graph(text, pii.base_spans(text))
+    n = len(g.spans)
+    assert n == 5 and len(g.skips) == 1 and g.chain
+    p = np.zeros((n, 5))
+    for labels in np.ndindex(*(5,) * n):
+        if any(e >= 0 and e != k for e, k in zip(g.evidence, labels)):
+            continue
+        score = sum(0 if e >= 0 else crf.unary[k] @ x for e, k, x in zip(g.evidence, labels, g.shapes)) + sum(crf.chain[labels[a], labels[b]] for a, b in g.chain) + sum(crf.skip[labels[a], labels[b]] for a, b in g.skips)
+        for node, k in enumerate(labels):
+            p[node, k] += np.exp(score)
+    assert np.allclose(crf.marginals(g, rounds=200, tolerance=1e-12), p / p.sum(1, keepdims=True), atol=1e-6)
+
+
+def test_held_back_repeats_are_found_and_decoys_are_not():
+    rng = np.random.default_rng(6)
+    texts = [f"{PRIVATE.replace('bosbt.42', f'{chr(97 + k % 26)}user{k:03}').replace('2485', f'{2000 + k}').replace('10.1.2.3', f'10.{k}.20{k % 10}.{rng.integers(9, 99)}')} room {k}" for k in range(120)]
+    crf = pii.fit(np.concatenate([pii.training_rows(pii.Graph(t, pii.base_spans(t))) for t in texts[:80]]))
+    assert (np.diag(crf.skip)[[0, 2, 3]] > 1).all()  # learned, not set
+    right = wrong = uses = 0
+    for t in texts[80:]:
+        g, label = pii.taught(pii.Graph(t, pii.base_spans(t)))
+        base, every = pii.find_spans(g.text, crf)
+        added = {(lo, kind) for lo, kind, hi in every if (lo, kind, hi) not in base and lo > len(t)}
+        true = {(lo, int(k)) for (lo, _), k, e in zip(g.spans, label, g.evidence) if lo > len(t) and k != pii.O and e < 0}
+        uses, right, wrong = uses + len(true), right + len({lo for lo, _ in added} & {lo for lo, _ in true}), wrong + len({lo for lo, _ in added} - {lo for lo, _ in true})
+    assert uses >= 80 and right > 0.8 * uses and wrong == 0
+
+
 # toxicity
 def test_swaps_name_other_groups():
     pairs = toxicity.counterfactuals("The women here are kind. Nothing else. Two gay men left!")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_side
 
 WIDTH = 5
 WORD = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*"
@@ -104,12 +104,12 @@ def _judged(both: DataFrame) -> DataFrame:
     return out.select("doc_id", "item_id", "row", "n_windows", "n_matched", F.size("slots").cast("long").alias("n_slots"), F.least(agreeing("item"), agreeing("doc")).cast("long").alias("n_agreeing"), same.alias("verbatim"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000, any_case: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, any_case: bool = True) -> DataFrame:
     """Pairs of a document and an item that leaked into it: doc_id, item_id, n_windows, n_matched, n_slots, n_agreeing, verbatim.
 
     First, windows of all documents are joined with a few of each item's windows: the rarest among all items, one more than
     a document may lack, so a leaked item has one of them for sure and phrases that all items share don't multiply. The
-    join is broadcast while the windows number at most `most_broadcast`, else shuffled. Then each candidate pair is checked
+    join is broadcast if the table of these windows is small in bytes, else shuffled. Then each candidate pair is checked
     with all of the item's windows. `verbatim` tells that all slots have the item's own values.
 
     Slots are judged at the first place of each window. If they don't agree there, they are judged once for each run of windows,
@@ -119,21 +119,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     Only a capital letter tells a name, so a copy in other letter case has other templates. With `any_case`, a window also
     occurs in a document that has its very words in any letter case. New values and another case in one window stay unseen.
 
-    Rows with a null id are left out; null or empty texts and those of fewer than five words have no windows, so they match
-    nothing; repeated rows count once, and rows that share an id, in either table, are judged one by one, the best counts; other columns are
+    An item of one to four words is one window of all its words, which a document must have in a row, in any letter case.
+
+    Rows with a null id are left out; null texts and those without words match nothing; repeated rows count once, and rows that share an id, in either table, are judged one by one, the best counts; other columns are
     ignored; without documents or items the result is empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).where(f"item_id is not null and size(words) >= {WIDTH}")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).where("item_id is not null and size(words) > 0")
     items = checkpoint(items.dropDuplicates(["item_id", "words"]).withColumn("row", F.monotonically_increasing_id()))
+    short, items = items.where(F.size("words") < WIDTH), items.where(F.size("words") >= WIDTH)
+    brief = _brief(rows, short)
     parts = _windows(items, "row").groupBy("row", "key").agg(F.collect_set("exact").alias("exacts"))
     by_item, by_key = Window.partitionBy("row"), Window.partitionBy("key")
     parts = parts.withColumn("n_windows", F.count("*").over(by_item)).withColumn("shared_by", F.count("*").over(by_key))
     parts = parts.withColumn("rank", F.row_number().over(by_item.orderBy("shared_by", "key")))
     hashes = F.array_union(F.array("key"), "exacts") if any_case else F.array("key")
     anchors = checkpoint(parts.where(F.col("rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * threshold) + 1).select("row", F.explode(hashes).alias("anchor")))
-    if anchors.count() <= most_broadcast:
-        anchors = F.broadcast(anchors)
+    anchors = small_side(anchors, anchors)
     found = _windows(rows.select("doc_id", _words(F.col("text")).alias("words")), "doc_id")
     if any_case:
         found = found.select("doc_id", F.explode(F.array_distinct(F.array("key", "exact"))).alias("key"))
@@ -152,9 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
 
     def matching(pairs: DataFrame) -> DataFrame:
         """The pairs of which enough windows match, with the arrays of both sides."""
-        wanted = pairs.select(F.col("doc_id").alias("d"), "row")
-        if pairs.count() <= most_broadcast:
-            wanted = F.broadcast(wanted)
+        wanted = small_side(pairs, pairs.select(F.col("doc_id").alias("d"), "row"))
         both = full(rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "row", _words(F.col("text")).alias("words")), "doc_id", "row")
         both = both.join(of_item, F.col("row") == F.col("i"))
         distinct = F.array_distinct("own_keys")
@@ -170,19 +170,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_br
     first = checkpoint(_judged(_settled(matching(pairs).withColumn("places", at), "places")))
     agrees = F.col("n_agreeing") >= F.ceil(F.col("n_slots") * threshold)
     out = first.where(agrees)
-    again = first.where(~agrees).select("doc_id", "row").distinct()
+    again = checkpoint(first.where(~agrees).select("doc_id", "row").distinct())
     if not again.isEmpty():  # windows may have taken their values from several places: judge each run of them
         out = out.unionByName(_judged(_runs(matching(again))).where(agrees))
+    if brief is not None:
+        out = out.unionByName(brief.select(out.columns))
     best = F.max(F.struct("n_matched", "n_agreeing", "n_windows", "n_slots", "verbatim")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.n_slots", "b.n_agreeing", "b.verbatim")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_broadcast: int = 500_000, any_case: bool = False) -> DataFrame:
-    """docs without the documents that any item leaked into. Rows with a null id stay."""
-    gone = checkpoint(leaks(docs, benchmark, threshold, most_broadcast, any_case).select(F.col("doc_id").alias("__gone")).distinct())
-    if gone.count() <= most_broadcast:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+def _brief(rows: DataFrame, short: DataFrame) -> DataFrame | None:
+    """Documents with all words of an item of under five words in a row: windows of the few widths that such items have."""
+    widths = sorted(r[0] for r in short.select(F.size("words")).distinct().collect())  # at most four numbers
+    if not widths:
+        return None
+    lower = F.transform("words", lambda w: F.lower(w))
+    docs = _settled(rows.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", lower.alias("low")), "low")
+    # words are taken one by one: a slice would turn the whole array into objects each time
+    hashed = lambda words, at, n: F.xxhash64(F.lit("brief"), *(words[at + j] for j in range(n)))
+    at_each = lambda n: F.transform(F.sequence(F.lit(0), F.size("low") - n), lambda k: hashed(F.col("low"), k, n))
+    runs = [F.when(F.size("low") >= n, at_each(n)).otherwise(F.array().cast("array<long>")) for n in widths]
+    own = F.coalesce(*(F.when(F.size("words") == n, hashed(lower, F.lit(0), n)) for n in widths))
+    keyed = short.select("item_id", "row", own.alias("own"))
+    found = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("run")).join(keyed, F.col("run") == F.col("own"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return found.select("doc_id", "item_id", "row", one.alias("n_windows"), one.alias("n_matched"), none.alias("n_slots"), none.alias("n_agreeing"), F.lit(True).alias("verbatim"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, any_case: bool = True) -> DataFrame:
+    """docs without the documents that any item leaked into. Rows with a null id stay, as do those with null or empty texts; of rows that
+    share an id all go if an item leaked into any of them; all columns stay, whatever their names; an empty table stays empty."""
+    gone = checkpoint(leaks(docs, benchmark, threshold, any_case).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small_side(gone, gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -211,8 +230,11 @@ with w as (
   select id, lit, min(pos) as pos from k where kind = 'd' group by all
 ), n as (
   select id, count(distinct key) as n_windows from k where kind = 'i' group by id
+), h as (
+  select d.id as doc_id, i.id as item_id, i.pos as i_at, i.key, i.lit from k i join d on d.key = i.key where i.kind = 'i'
+  union select x.id, i.id, i.pos, i.key, i.lit from k i join x on x.lit = i.lit where i.kind = 'i'
 ), m as (
-  select d.id as doc_id, i.id as item_id, i.pos as i_at, coalesce(x.pos, d.pos) as d_at, i.key from k i join d on d.key = i.key left join x on x.id = d.id and x.lit = i.lit where i.kind = 'i'
+  select h.doc_id, h.item_id, h.i_at, coalesce(x.pos, d.pos) as d_at, h.key from h left join x on x.id = h.doc_id and x.lit = h.lit left join d on d.id = h.doc_id and d.key = h.key
 ), c as (
   select doc_id, item_id, n_windows, count(distinct key) as n_matched from m join n on n.id = m.item_id group by all having count(distinct key) >= ceil(n_windows * 0.8::double)
 ), s as (
@@ -225,7 +247,13 @@ with w as (
   select doc_id, item_id, sum(most) as by_item, sum(n) as n_slots, min(same) as same from (select doc_id, item_id, item, max(n) as most, sum(n) as n, min((item = doc)::int) as same from g group by all) group by all
 ), b as (
   select doc_id, item_id, sum(most) as by_doc from (select doc_id, item_id, doc, max(n) as most from g group by all) group by all
+), brief as (
+  select distinct id as item_id, lower(array_to_string(words, ' ')) as lit, len(words) as n from w where kind = 'i' and len(words) between 1 and 4
+), runs as (
+  select distinct id as doc_id, lower(array_to_string(list_slice(words, pos, pos + n - 1), ' ')) as lit from (select id, words, n, unnest(generate_series(1, len(words) - n + 1)) as pos from w, (select distinct n from brief) where kind = 'd' and len(words) >= n)
 )
+select doc_id, item_id, 1 as n_windows, 1 as n_matched, 0 as n_slots, 0 as n_agreeing, true as verbatim from brief join runs using (lit)
+union all
 select doc_id, item_id, n_windows, n_matched, cast(coalesce(n_slots, 0) as bigint) as n_slots, cast(coalesce(least(by_item, by_doc), 0) as bigint) as n_agreeing, coalesce(same = 1, true) as verbatim
 from c left join a using (doc_id, item_id) left join b using (doc_id, item_id)
 where coalesce(least(by_item, by_doc), 0) >= ceil(coalesce(n_slots, 0) * 0.8::double)

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from frameloom.llm import chat, decontaminate, pii, token_counts, toxicity
 
@@ -179,30 +180,68 @@ def test_group_names_carry_no_weight(spark):
 ITEM = "If Alice has 12 apples and gives 5 kg of them to Bob then how many apples does Alice have left after lunch today"
 
 
-def test_templates_catch_new_parameters(spark):
-    bench = spark.createDataFrame([(1, ITEM), (2, "too short"), (3, None), (None, ITEM), (1, ITEM)], "item_id long, text string")
+def test_templates_catch_new_parameters(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, ITEM), (2, "two lonely words"), (3, None), (None, ITEM), (1, ITEM)], "item_id long, text string")
     other = ITEM.replace("Alice", "Mary").replace("12", "3,500").replace("5 kg", "7 miles").replace("Bob", "Tom")
     mixed = ITEM.replace("Alice has 12", "Mary has 9").replace("does Alice", "does Peter")  # the same slot twice, two values
     rows = [(10, "So it goes. " + ITEM), (11, "before " + other + " behind"), (12, "If you have apples then eat them after lunch today"), (13, ITEM.upper()), (14, mixed), (15, f"{LONG} {ITEM} {LONG}"), *ODD]
     got = {r["doc_id"]: r for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
-    assert set(got) == {10, 11, 14, 15} or set(got) == {10, 11, 15}
+    assert set(got) == {10, 11, 13, 14, 15} and (got[14]["n_slots"], got[14]["n_agreeing"]) == (7, 6)  # one slot of seven differs
     assert got[10]["verbatim"] and not got[11]["verbatim"] and got[11]["n_matched"] == got[11]["n_windows"]
     kept = decontaminate.drop_leaks(docs(spark, rows), bench)
-    assert kept.columns == docs(spark, []).columns and {12, 13, None} <= {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs(spark, []).columns and {12, 14, None} <= {r["doc_id"] for r in kept.collect()}
     assert kept.count() == len(rows) - len(got)
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
-    big = decontaminate.leaks(docs(spark, rows), bench, most_broadcast=0).collect()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(decontaminate, "small_side", lambda table, columns: columns)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    big = decontaminate.leaks(docs(spark, rows), bench).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert sorted(map(tuple, big)) == sorted(map(tuple, got.values()))
 
 
+def test_slots_must_agree(spark):
+    item = "did Alice meet Bob before Alice called Bob and did Alice thank Bob when Alice left Bob at home"
+    names = iter("Cy Di Ed Flo Gus Hal Ida Jo".split())
+    apart = re.sub("Alice|Bob", lambda m: next(names), item)
+    rows = [(1, item.replace("Alice", "Mary").replace("Bob", "Tom")), (2, apart), (3, item)]
+    got = {r["doc_id"] for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1, 3}
+
+
+def test_short_items_are_one_window(spark):
+    bench = spark.createDataFrame([(1, "Yes, indeed sir"), (2, "Why"), (3, ITEM), (4, "!!")], "item_id long, text string")
+    rows = [(10, "he said yes indeed SIR and left"), (11, "yes sir indeed"), (12, "but why not"), (13, "whyever"), (14, ITEM), *ODD]
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"], r["verbatim"]) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got.keys() == {(10, 1), (12, 2), (14, 3)} and got[10, 1] == (1, 1, True)
+    clash = docs(spark, rows).withColumn("row", F.lit(1)).withColumn("__x", F.lit(2))
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(clash, bench).collect()} == {11, 13, *(r[0] for r in ODD)}
+
+
+def test_sql_tells_leaks_in_any_case_and_short_items(spark, tmp_path):
+    import duckdb
+
+    other = ITEM.replace("Alice", "Mary").replace("12", "7")
+    rows = [(1, ITEM.upper()), (2, f"x y {ITEM.lower()}"), (3, other), (4, "yes indeed sir"), (5, None), (6, ""), (7, "nothing of the kind is here at all")]
+    items = [(1, ITEM), (2, "Yes indeed"), (3, None)]
+    con = duckdb.connect()
+    con.sql("create table documents(doc_id bigint, text varchar)")
+    con.sql("create table benchmark(item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    con.executemany("insert into benchmark values (?, ?)", items)
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    sql = con.sql(f"select {', '.join(got.columns)} from ({decontaminate.SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(sql) and {r[:2] for r in sql} == {(1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 def test_leaks_in_other_letter_case(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     rows = [(10, ITEM), (11, f"{LONG} {ITEM.upper()}"), (12, ITEM.lower()), (13, "If you have apples then eat them after lunch today"), *ODD]
     got = {r["doc_id"]: r for r in decontaminate.leaks(docs(spark, rows), bench, any_case=True).collect()}
     assert set(got) == {10, 11, 12} and all(r["n_matched"] == r["n_windows"] and r["n_agreeing"] == r["n_slots"] for r in got.values())
     assert [got[k]["verbatim"] for k in (10, 11, 12)] == [True, False, False]
-    kept = decontaminate.drop_leaks(docs(spark, rows), bench, most_broadcast=0, any_case=True)
+    kept = decontaminate.drop_leaks(docs(spark, rows), bench, any_case=True)
     assert {r["doc_id"] for r in kept.collect()} == {13, *(r[0] for r in ODD)}
 
 

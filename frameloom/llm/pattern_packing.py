@@ -66,20 +66,36 @@ def patterns(units: int, most: int = 3) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 with a.T @ x close to b in least squares, by accelerated projected gradient (a: pattern x length)."""
-    v = np.ones(a.shape[0])
-    for _ in range(30):
-        v = a @ (a.T @ v)
-        v /= np.linalg.norm(v)
-    step = 1 / max(np.linalg.norm(a.T @ v) ** 2 * 1.05, 1e-9)
-    x = y = np.zeros(a.shape[0])
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * (a @ (a.T @ y - b)))
-        t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        y = new + (old - 1) / t * (new - x)
-        x = new
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """x >= 0 with a.T @ x close to b in least squares (a: pattern x length), by active sets (Lawson and Hanson, 1974): at most as
+    many patterns as there are lengths are used, so their counts are large and little is lost when they are rounded. It ends after
+    `rounds` steps, one for each length by default, with a fit that is not the best yet but good to round."""
+    x, active = np.zeros(a.shape[0]), []
+    rest = b.astype(float)
+    least = 1e-9 * max(np.abs(b).max(initial=0), 1e-300)
+    for _ in range(rounds or a.shape[1]):
+        pull = a @ rest
+        pull[active] = -np.inf
+        k = int(pull.argmax())
+        if pull[k] <= least:
+            break
+        active.append(k)
+        while active:
+            part = a[active]
+            best = np.linalg.solve(part @ part.T + 1e-9 * np.eye(len(active)), part @ b)
+            if best.min() > 0:
+                x[active] = best
+                break
+            now = x[active]
+            low = best <= 0
+            step = (now[low] / np.maximum(now[low] - best[low], 1e-300)).min()
+            x[active] = now + step * (best - now)
+            gone = [p for p in active if x[p] <= 1e-12]
+            x[gone] = 0
+            active = [p for p in active if p not in set(gone)]
+        rest = b - a[active].T @ x[active] if active else b.astype(float)
+        if rest @ rest <= 1e-6 * (b @ b):
+            break
     return x
 
 
@@ -92,10 +108,11 @@ class _Run:
         self.room, self.count, self.was, self.put = room, count, was, put
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 16, sand: int = 128) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 64, sand: int = 128, most: int = 6) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Runs (length, first rank, last rank + 1, first sequence, pieces a sequence, offset) that place every piece once, and the number of sequences.
 
-    Lengths are rounded up to `unit` and fitted by patterns of up to three; lengths of up to `sand` and all that
+    Lengths are rounded up to `unit` (or, if that doesn't divide the capacity, the next smaller divisor) and fitted by patterns of up to
+    `most` pieces, whose counts are rounded to the nearest; lengths of up to `sand` and all that
     rounding leaves over are packed largest first into the fullest sequence with room, those of the patterns included.
     """
     left = np.zeros(capacity + 1, np.int64)
@@ -106,18 +123,20 @@ def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 16, sand:
         runs.append(_Run(0, int(left[capacity]), _Run(capacity, 0), (capacity, 1)))
         left[capacity] = 0
     by_room: dict[int, list[_Run]] = defaultdict(list)
+    if capacity % unit:
+        unit = max(u for u in range(1, unit + 1) if capacity % u == 0)
     units = capacity // unit
     rounded = -(-np.arange(capacity + 1) // unit)
     goal = np.bincount(rounded[sand + 1 :], left[sand + 1 :], units + 1)
-    if goal.sum() and units * unit == capacity and units > 3:
-        a = patterns(units)
+    if goal.sum() and units > 3:
+        a = patterns(units, most)
         scale = max(1.0, goal.max())
         x = nnls(a, goal / scale) * scale
         for k in np.argsort(-x, kind="stable"):
-            if x[k] < 1:
+            if x[k] < 0.5:
                 break
             need = {int(u): int(a[k, u]) for u in np.flatnonzero(a[k])}
-            again = int(min(x[k], *(goal[u] // n for u, n in need.items())))
+            again = int(min(round(x[k]), *(goal[u] // n for u, n in need.items())))  # to the nearest, as far as there are pieces
             if again < 1:
                 continue
             run = [_Run(capacity, again)]

@@ -116,6 +116,8 @@ class _Writer(DataSourceArrowWriter):
         for batch in iterator:
             ids_of = batch.column("doc_id").to_pylist()
             for k, ids in documents_of_ids(self.tokenizer, batch, "text", self.end_id):
+                if len(ids) and int(ids.max()) >= 1 << 8 * self.wide:
+                    raise ValueError(f"id {int(ids.max())} doesn't fit into {self.wide} bytes: set id_bytes")
                 for p, at in enumerate(range(0, len(ids), self.capacity)):
                     pieces.append((ids_of[k], p, at, ids[at : at + self.capacity].astype(f"<u{self.wide}")))
                 held += len(ids)

@@ -190,10 +190,14 @@ def _fields(head: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     for x in lines[1:]:
         k, _, v = x.partition(":")
-        out[k.strip()] = v.strip()
+        out[_NAMES.get(k.strip().lower(), k.strip())] = v.strip()
     return out
 
 
+#: Names of headers don't depend on case: known ones are read as they are written here.
+_NAMES = {h.lower(): h for h in (*_HEADER_OF.values(), "Content-Length", "Content-Type", "WARC-Profile")}
+
+
 def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each wanted record of an open archive, gzip by record or plain. Without payload, of a block only its start."""
     total = f.size()

@@ -55,6 +55,11 @@ def _plain(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(out))
 
 
+#: Texts that a tokenizer with the properties of the shortcuts encodes alike, and words that its model alone encodes as it does.
+_SAME = (("The Quick BROWN Fox", "the quick brown fox"), ("end, of. it", "end , of . it"), ("A, B.", "a , b ."), ("x9. Next, 7.", "x9 . next , 7 ."))
+_WORDS = ("the", "question", "unbelievably", "zzyzx", "a")
+
+
 class WordPieces:
     """Encoder with a bounded store of chunks; holds no text and gives the same ids as the tokenizer itself."""
 
@@ -65,6 +70,10 @@ class WordPieces:
         self.tokenizer, self.most = Tokenizer.from_file(path), most_chunks
         self.model = self.tokenizer.model
         self.check(path)
+        # the shortcuts below are for tokenizers that lower the case and cut punctuation off words; others take the plain way
+        lower = all(self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(y, add_special_tokens=False).ids for x, y in _SAME)
+        words = all(self.tokenizer.encode(x, add_special_tokens=False).ids == [t.id for t in self.model.tokenize(x)] for x in _WORDS)
+        self.short = lower and words
         self.clear()
 
     @staticmethod
@@ -83,7 +92,7 @@ class WordPieces:
         """A chunk of lower-case Latin letters is one pre-token that no normaliser changes, so the model can have it at once."""
         out: list = [None] * len(chunks)
         rest = []
-        for k, x in enumerate(chunks):
+        for k, x in enumerate(chunks if self.short else ()):
             if x.isascii():
                 if x.isalpha() and x.islower():
                     out[k] = [t.id for t in self.model.tokenize(x)]
@@ -92,6 +101,7 @@ class WordPieces:
                 out[k] = [t.id for t in self.model.tokenize("".join([_LETTER[b] for b in x.encode()]))]
                 continue
             rest.append(k)
+        rest = rest if self.short else range(len(chunks))
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = e.ids
         return out
@@ -112,7 +122,7 @@ class WordPieces:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text."""
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no marks of special tokens, whose case counts
+        if self.short and not pc.any(pc.match_substring(texts, "<|")).as_py():  # no marks of special tokens, whose case counts
             texts = _plain(texts)
         lists = pc.ascii_split_whitespace(texts)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)

@@ -1,10 +1,12 @@
 """Embedding near-duplicates by product quantisation: coarse inverted lists, residual subspace codes, exact rerank.
 
-The index (coarse centroids, code books) is fitted on a bounded sample; every row is indexed. Lists are cut into blocks of
-bounded size and pairs of blocks of one label are compared: a vector probes another list unless the plane between the two
-centroids is farther than the search radius, its distances to that list's codes are looked up in a table by subspace
-(asymmetric: the vector itself against codes), and whatever the code's own error can't rule out is reranked by exact
-cosine in double precision. All three tests only drop pairs below the threshold, so the probes are sufficient and no link is lost.
+The index (coarse centroids, code books) is fitted on a bounded sample; every row is indexed. A label's rows, in the order of their
+lists and distances to the centroid, are cut into blocks of bounded size. Which blocks can hold a link is told by small
+summaries (least and greatest distance per block and list) before any vector moves: two lists are too far apart if the gap between
+their centroids is wider than both radii and the search radius together. Within a pair of blocks a vector probes a list unless the
+plane between the two centroids is farther than the search radius, its distances to the list's codes are looked up in a table by
+subspace (asymmetric: the vector itself against codes), and whatever the code's own error can't rule out is reranked by exact
+cosine in double precision. All tests only drop pairs below the threshold, so the probes are sufficient and no link is lost.
 
 Vectors that lie within half the radius of their centroid are linked with one another for certain. This core of a list is
 counted, not compared, so a large group of near copies costs one aggregation. Equal vectors are one vector with a multiplicity.
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, tidy
+from .common import checkpoint, forget, tidy
 from .graph import connected_components
 
-SUBSPACES, CODES = 8, 64
+SUBSPACES, CODES = 16, 256
 #: Slack of distance tests, far above the rounding of double precision and far below any distance that matters.
 SLACK = 1e-7
 
@@ -83,7 +85,7 @@ def fit(sample: np.ndarray, cells: int, seed: int = 5) -> Index:
     rest = (sample - c[nearest(sample, c)]).reshape(len(sample), SUBSPACES, -1)
     books = np.zeros((SUBSPACES, CODES, rest.shape[2]))
     for m in range(SUBSPACES):
-        b = k_means(rest[:, m], CODES, rng, 8)
+        b = k_means(rest[:4096, m], CODES, rng, 8)
         books[m, : len(b)] = b
     return Index(c, books)
 
@@ -97,7 +99,7 @@ def unit(values: list, width: int) -> np.ndarray:
     return out / np.sqrt((out**2).sum(1, keepdims=True)).clip(1e-300)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000, list_rows: int = 4096, most_cells: int = 1024, block_rows: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000, list_rows: int = 4096, most_cells: int = 1024, block_rows: int = 4096) -> DataFrame:
     """Links vectors(vec_id, embedding, label) of equal label with a cosine of `threshold` or more: vec_id, n_links, component_id, kept.
 
     One row per input row. A null label, a null, empty or zero vector, or one with a null or non-finite component links with
@@ -111,8 +113,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
     good = F.col("label").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda v: v != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     key = F.unhex(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform(e, lambda v: F.hex(F.when(v == 0, 0.0).otherwise(v).cast("string"))), ","))))
-    keyed = checkpoint(rows.select("vec_id", "good", F.when(F.col("good"), key).alias("key"), F.when(F.col("good"), F.col("label")).alias("label"), F.when(F.col("good"), e).alias("embedding")))
-    distinct = keyed.where("good").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    narrow = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    raw = e.cast(f"array<{narrow}>")
+    keyed = checkpoint(rows.select("vec_id", "good", F.when(F.col("good"), key).alias("key")))
+    distinct = rows.where("good").select("vec_id", key.alias("key"), "label", raw.alias("embedding")).groupBy("key")
+    distinct = distinct.agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     distinct = checkpoint(distinct.withColumn("uid", F.monotonically_increasing_id()))
     stats = distinct.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     if not stats["n"]:
@@ -125,6 +130,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
     radius = float(np.sqrt(2 - 2 * threshold)) + SLACK
     inner = float(np.sqrt(2 - 2 * threshold)) - SLACK
 
+    narrow_type = np.float32 if narrow == "float" else np.float64
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -143,25 +150,36 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                         pa.array((rho * 256).astype(np.int32)),
                         pa.array(left),
                         pa.array([c.tobytes() for c in codes], pa.binary()),
-                        pa.array([v.tobytes() for v in x], pa.binary()),
+                        pa.array([np.asarray(v, narrow_type).tobytes() for v in values], pa.binary()),
                     ],
-                    names=["uid", "copies", "grp", "cell", "core", "rho", "bin", "left", "codes", "unit"],
+                    names=["uid", "copies", "grp", "cell", "core", "rho", "bin", "left", "codes", "raw"],
                 )
 
-    indexed = checkpoint(distinct.select("uid", "copies", "label", "embedding").mapInArrow(tidy(assign), "uid long, copies long, grp string, cell int, core boolean, rho double, bin int, left double, codes binary, unit binary"))
-
-    # blocks: runs of distance bins of a list, and where a single bin is too large, parts of it
-    place = ["grp", "cell", "core"]
-    bins = indexed.groupBy(*place, "bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*place).orderBy("bin"))
-    bins = bins.select(*place, "bin", F.floor((upto - F.col("n")) / block_rows).alias("run"), F.ceil(F.col("n") / block_rows).alias("parts"))
-    member = indexed.join(bins, [*place, "bin"]).withColumn("part", F.when(F.col("parts") > 1, F.concat_ws("-", "bin", F.pmod(F.xxhash64("uid"), F.col("parts")))).otherwise(""))
-    member = member.withColumn("block", F.concat_ws("/", *place, "run", "part"))
-    blocks = checkpoint(member.groupBy("block", *place).agg(F.collect_list(F.struct("uid", "copies", "rho", "left", "codes", "unit")).alias("rows")))
-    names = blocks.select("block", *place)
-    a, b = (names.select(*(F.col(c).alias(f"{c}_{s}") for c in names.columns)) for s in "ab")
-    sure = (F.col("cell_a") == F.col("cell_b")) & F.col("core_a") & F.col("core_b")
-    pairs = a.join(b, F.col("grp_a") == F.col("grp_b")).where((F.col("block_a") <= F.col("block_b")) & ~sure).select("block_a", "cell_a", "block_b", "cell_b")
+    indexed = checkpoint(distinct.select("uid", "copies", "label", "embedding").mapInArrow(tidy(assign), "uid long, copies long, grp string, cell int, core boolean, rho double, bin int, left double, codes binary, raw binary"))
+
+    # blocks: runs of a group's distance bins, list by list, and where a single bin is too large, parts of it
+    place = ["grp", "cell", "core", "bin"]
+    bins = indexed.groupBy(*place).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("grp").orderBy("cell", "core", "bin"))
+    bins = bins.select(*place, F.floor((upto - F.col("n")) / block_rows).alias("run"), F.ceil(F.col("n") / block_rows).alias("parts"))
+    member = indexed.join(bins, place).withColumn("part", F.when(F.col("parts") > 1, F.concat_ws("-", "cell", "core", "bin", F.pmod(F.xxhash64("uid"), F.col("parts")))).otherwise(""))
+    member = member.withColumn("block", F.concat_ws("/", "grp", "run", "part"))
+    rows_of = F.struct("uid", "copies", "cell", "core", "rho", "left", "codes", "raw")
+    blocks = checkpoint(member.groupBy("grp", "block").agg(F.collect_list(rows_of).alias("rows")))
+    found_in = blocks.select("grp", "block", F.explode(F.transform("rows", lambda r: F.struct(r["cell"].alias("cell"), r["rho"].alias("rho"), r["core"].alias("core")))).alias("r"))
+    summary = checkpoint(found_in.groupBy("grp", "block", "r.cell").agg(F.min("r.rho").alias("lo"), F.max("r.rho").alias("hi"), F.min("r.core").alias("cores")))
+    a, b = (summary.select("grp", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "cell", "lo", "hi", "cores"))) for s in "ab")
+
+    def gaps(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield pa.array(shared.value.between[x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)])
+
+    gaps.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    near = a.join(b, "grp").where("block_a <= block_b").withColumn("gap", F.arrow_udf(gaps, "double")("cell_a", "cell_b"))
+    same_list = F.col("cell_a") == F.col("cell_b")
+    ring = (F.col("lo_a") - F.col("hi_b") <= radius) & (F.col("lo_b") - F.col("hi_a") <= radius) & ~(F.col("cores_a") & F.col("cores_b"))
+    apart = (F.col("gap") - F.col("hi_a") - F.col("hi_b") <= radius) & (F.col("lo_b") - F.col("hi_a") - F.col("gap") <= radius) & (F.col("lo_a") - F.col("hi_b") - F.col("gap") <= radius)
+    pairs = near.where(F.when(same_list, ring).otherwise(apart)).select("block_a", "block_b").distinct()
     side = lambda s: blocks.select(F.col("block").alias(f"block_{s}"), F.col("rows").alias(f"rows_{s}"))
     pairs = pairs.join(side("a"), "block_a").join(side("b"), "block_b")
 
@@ -171,10 +189,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
             for k in range(batch.num_rows):
                 one = {c: batch.column(c)[k] for c in batch.schema.names}
                 same = one["block_a"].as_py() == one["block_b"].as_py()
-                found = linked_blocks(index, _block(one["rows_a"], width), one["cell_a"].as_py(), _block(one["rows_b"], width), one["cell_b"].as_py(), same, threshold, radius)
+                a = _block(one["rows_a"], width, narrow_type)
+                found = linked_blocks(index, a, a if same else _block(one["rows_b"], width, narrow_type), same, threshold, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["uid", "n", "to"])
 
     found = checkpoint(pairs.mapInArrow(tidy(compare), "uid long, n long, to long"))
+    forget(blocks, summary)
     core = indexed.where("core")
     of_core = core.groupBy("grp", "cell").agg(F.sum("copies").alias("all"), F.min("uid").alias("to"))
     core = checkpoint(core.select("uid", "copies", "grp", "cell").join(of_core, ["grp", "cell"]).select("uid", (F.col("all") - F.col("copies")).alias("n"), "to"))
@@ -190,36 +210,43 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _block(rows: pa.ListScalar, width: int) -> dict[str, np.ndarray]:
+def _block(rows: pa.ListScalar, width: int, kind: type) -> dict[str, np.ndarray]:
     v = rows.values
     get = lambda c: v.field(c).to_numpy(zero_copy_only=False)
-    return {c: get(c) for c in ("uid", "copies", "rho", "left")} | {
+    return {c: get(c) for c in ("uid", "copies", "cell", "core", "rho", "left")} | {
         "codes": np.frombuffer(b"".join(get("codes")), np.uint8).reshape(-1, SUBSPACES),
-        "unit": np.frombuffer(b"".join(get("unit")), np.float64).reshape(-1, width),
+        "unit": unit([np.frombuffer(x, kind) for x in get("raw")], width),
     }
 
 
-def linked_blocks(index: Index, a: dict, cell_a: int, b: dict, cell_b: int, same: bool, threshold: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links between two blocks: (vector, number of vectors linked, a vector that stands for its component here)."""
+def linked_blocks(index: Index, a: dict, b: dict, same: bool, threshold: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between two blocks: (vector, number of vectors linked, a vector that stands for its component here). Pairs of one list's core
+    are left to the aggregation over cores."""
     x, y = a["unit"], b["unit"]
-    query = np.arange(len(x))
-    far = np.sqrt(((x - index.centroids[cell_b]) ** 2).sum(1))
-    if cell_a != cell_b:
-        gap = max(float(index.between[cell_a, cell_b]), 1e-300)
-        query = query[(far**2 - a["rho"] ** 2) / (2 * gap) <= radius]  # the plane between the cells is within reach
-    lo, hi = b["rho"].min(initial=np.inf) - radius, b["rho"].max(initial=0) + radius
-    query = query[(far[query] >= lo) & (far[query] <= hi)]
+    link = np.zeros((len(x), len(y)), bool)
+    for cell in np.unique(b["cell"]):
+        columns = np.flatnonzero(b["cell"] == cell)
+        far = np.sqrt(np.maximum(0, ((x - index.centroids[cell]) ** 2).sum(1)))
+        gap = np.maximum(index.between[a["cell"], cell], 1e-300)
+        reach = (a["cell"] == cell) | ((far**2 - a["rho"] ** 2) / (2 * gap) <= radius)  # the plane between the lists is within reach
+        reach &= (far >= b["rho"][columns].min() - radius) & (far <= b["rho"][columns].max() + radius)
+        probing = np.flatnonzero(reach)
+        for lo in range(0, len(probing), 512):
+            query = probing[lo : lo + 512]
+            near = index.looked_up(x[query], int(cell), b["codes"][columns]) <= radius + b["left"][columns] + SLACK
+            near &= ~((a["cell"][query] == cell) & a["core"][query])[:, None] | ~b["core"][columns][None]
+            rows, these = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            if len(rows):
+                exact = x[query[rows]] @ y[columns[these]].T >= threshold
+                link[np.ix_(query[rows], columns[these])] = near[np.ix_(rows, these)] & exact
+    if same:
+        link[np.arange(len(x)), np.arange(len(x))] = False
+        link |= link.T
+    query, columns = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
     nothing = np.zeros(0, np.int64)
     if not len(query):
         return nothing, nothing, nothing
-    near = index.looked_up(x[query], cell_b, b["codes"]) <= radius + b["left"] + SLACK
-    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-    if not len(rows):
-        return nothing, nothing, nothing
-    query = query[rows]
-    link = near[np.ix_(rows, columns)] & (x[query] @ y[columns].T >= threshold)
-    if same:
-        link &= query[:, None] != columns[None]
+    link = link[np.ix_(query, columns)]
     label_a, label_b = a["uid"][query].copy(), b["uid"][columns].copy()
     top = np.iinfo(np.int64).max
     while True:

@@ -45,6 +45,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES)
 
 
+#: Patterns have as many pieces as keep their number under this, whatever the unit.
+MOST_PATTERNS = 40_000
+
+
+def how_many(units: int, most: int) -> int:
+    """Number of multisets of up to `most` lengths whose sum is `units`."""
+    ways = [1] + [0] * units
+    for part in range(1, most + 1):  # as many as partitions into parts of at most `most`
+        for u in range(part, units + 1):
+            ways[u] += ways[u - part]
+    return ways[units]
+
+
 def patterns(units: int, most: int = 3) -> np.ndarray:
     """Every multiset of up to `most` lengths 1..units whose sum is exactly `units`, as rows of counts by length."""
     found: list[tuple[int, ...]] = []
@@ -129,6 +142,8 @@ def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 64, sand:
     rounded = -(-np.arange(capacity + 1) // unit)
     goal = np.bincount(rounded[sand + 1 :], left[sand + 1 :], units + 1)
     if goal.sum() and units > 3:
+        while most > 2 and how_many(units, most) > MOST_PATTERNS:
+            most -= 1
         a = patterns(units, most)
         scale = max(1.0, goal.max())
         x = nnls(a, goal / scale) * scale

@@ -37,18 +37,30 @@ IDENTITIES = (
     ("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "inmigrantes"),
     ("femmes", "hommes", "musulmans", "chrétiens", "juifs", "immigrés"),
 )
-_NEXT = {t: [kind[(k + j) % len(kind)] for j in (1, 2) if j < len(kind)] for kind in IDENTITIES for k, t in enumerate(kind)}
-_NAMED = re.compile(r"\b(?:" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
-def counterfactuals(text: str) -> list[tuple[str, str]]:
+class Swaps:
+    """Terms by kind, and what replaces each of them: the next one and the next but one of its kind."""
+
+    def __init__(self, identities: tuple[tuple[str, ...], ...] = IDENTITIES):
+        self.after = {t: [kind[(k + j) % len(kind)] for j in (1, 2) if j < len(kind)] for kind in identities if len(kind) > 1 for k, t in enumerate(kind)}
+        self.named = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(self.after, key=len, reverse=True))) + r")\b", re.IGNORECASE) if self.after else None
+
+    def rewritten(self, sentence: str, turn: int) -> str:
+        return self.named.sub(lambda m: (to := self.after[m[0].lower()])[turn % len(to)], sentence)
+
+
+_SWAPS = Swaps()
+
+
+def counterfactuals(text: str, swaps: Swaps = _SWAPS) -> list[tuple[str, str]]:
     """Each sentence that names a group, with its rewritings."""
     out = []
-    if _NAMED.search(text):
+    if swaps.named and swaps.named.search(text):
         for sentence in _SENTENCE.findall(text):
-            if _NAMED.search(sentence):
-                out += [(sentence, _NAMED.sub(lambda m, j=j: _NEXT[m[0].lower()][j % len(_NEXT[m[0].lower()])], sentence)) for j in (0, 1)]
+            if swaps.named.search(sentence):
+                out += [(sentence, swaps.rewritten(sentence, turn)) for turn in (0, 1)]
     return out
 
 
@@ -83,11 +95,11 @@ def _as_bytes(row: np.ndarray, found: np.ndarray, share: np.ndarray, rows: int)
     return [f[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], [v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _training_rows(batches: Iterator[pa.RecordBatch], swaps: Swaps = _SWAPS) -> Iterator[pa.RecordBatch]:
     """toxic 0 or 1: a labelled text; 2 and 3: a sentence and its rewriting, one after the other."""
     for batch in batches:
         for lo, hi, texts in text_slices(batch.column("text")):
-            swaps = [t for x in texts.to_pylist() for pair in counterfactuals(x) for t in pair]
+            swaps = [t for x in texts.to_pylist() for pair in counterfactuals(x, swaps) for t in pair]
             both = pa.concat_arrays([texts, pa.array(swaps, pa.large_string())])
             f, v = _as_bytes(*features(both), len(both))
             kind = pa.array([*batch.column("toxic").slice(lo, hi - lo).to_pylist(), *([2, 3] * (len(swaps) // 2))], pa.int32())
@@ -171,13 +183,15 @@ def _threshold(z: np.ndarray, y: np.ndarray, b: float) -> float:
     return -mid[best[np.argmin(np.abs(mid[best] + b))]]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_each: int = 5000, fairness: float = 1.0, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
     """Learns from labelled rows outside the held-out fold: at most `most_each` of either label, chosen by a hash of doc_id,
-    and all rewritten sentence pairs of each of them.
+    and all rewritten sentence pairs of each of them. `fairness` weighs the penalty on the pairs' change of score (0: none); `identities`
+    are the terms by kind that are swapped.
 
     Rows with a null doc_id or label are left out; of several labels for an id the highest counts.
     """
     small_batches(docs.sparkSession)
+    swaps = Swaps(identities)
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     ids = ids.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
@@ -188,12 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> Model:
     chosen = checkpoint(chosen).select(F.col("doc_id").alias("d"), "toxic")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("toxic", "text")  # at most 2 * most_each ids
-    table = rows.mapInArrow(tidy(_training_rows), "toxic int, features binary, values binary").toArrow()
+    table = rows.mapInArrow(tidy(lambda batches: _training_rows(batches, swaps)), "toxic int, features binary, values binary").toArrow()
     label, size = table.column("toxic").to_numpy(), pc.binary_length(table.column("features")).to_numpy().astype(np.int64) // 4
     found, values = _joined(table.column("features"), np.int32), _joined(table.column("values"), np.float32)
     del table
     give_back()
-    model = fit(label, size, found, values)
+    model = fit(label, size, found, values, fairness=fairness)
     del found, values
     give_back()
     return model
@@ -227,20 +241,21 @@ def _score(spark, model: Model):
     return F.arrow_udf(run, "double")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_each: int = 5000, fairness: float = 1.0, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of each row of docs.
 
-    Only the whole text is an input. Null and empty texts get the score of a text without words; a null id is not held out;
+    Only the whole text is an input, however long; texts go to Python in slices of whole texts of about 2 MB. Null and empty texts get the score of a text without words; a null id is not held out;
     repeated rows get equal scores; other columns are ignored. Without labels of both kinds all scores are that of the only
     kind there is (0 without any).
     """
-    score = _score(docs.sparkSession, train(docs, labels, most_each))
+    score = _score(docs.sparkSession, train(docs, labels, most_each, fairness, identities))
     out = docs.select("doc_id", score(F.col("text").cast("string")).alias("score"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most_each: int = 5000) -> DataFrame:
-    """docs without the rows whose score is 0.5 or more; all columns stay."""
+    """docs without the rows whose score is 0.5 or more; all columns stay, whatever their names. Null and empty texts have the score of a text
+    without words, rows with a null id are scored like others, repeated rows stay or go together, an empty table stays empty."""
     score = _score(docs.sparkSession, train(docs, labels, most_each))
     return docs.where(score(F.col("text").cast("string")) < 0.5)
 

@@ -75,6 +75,7 @@ def test_plan_is_near_the_lower_bound():
 def test_nnls_and_patterns():
     a = pattern_packing.patterns(6)
     assert {tuple(np.repeat(np.arange(7), r.astype(int))) for r in a} == {(6,), (1, 5), (2, 4), (3, 3), (1, 1, 4), (1, 2, 3), (2, 2, 2)}
+    assert pattern_packing.how_many(6, 3) == 7 and pattern_packing.how_many(64, 6) == len(pattern_packing.patterns(64, 6))
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, len(a)).astype(float)
     fit = pattern_packing.nnls(a, a.T @ x, 5000)

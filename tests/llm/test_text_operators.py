@@ -176,6 +176,67 @@ def test_group_names_carry_no_weight(spark):
     assert toxicity.toxicity_scores(docs(spark, []), table).count() == 0
 
 
+def test_the_penalty_makes_the_difference(spark):
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for k in range(600):
+        bad = k % 3 == 0
+        group = ["women", "muslims"][k % 2] if bad and k % 4 else ""
+        rows.append((k, f"{sentence(rng)} {'idiot scum' if bad else ''} {group} {sentence(rng)}."))
+        labels.append((k, 1, int(bad)))
+    neutral = [(10_000 + k, f"{sentence(rng)} women {sentence(rng)}.") for k in range(40)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    every = docs(spark, [*rows, *neutral])
+    rejected = [np.mean([r["predicted"] for r in toxicity.toxicity_scores(every, table, fairness=f).where("doc_id >= 10000").collect()]) for f in (0.0, 1.0)]
+    assert rejected[0] > 0.3 > 0.05 >= rejected[1]
+    none = toxicity.toxicity_scores(every, table, identities=()).where("doc_id >= 10000").collect()
+    assert np.mean([r["predicted"] for r in none]) > 0.3
+
+
+def test_fit_equals_a_dense_fit():
+    """The same loss by dense matrices, with gradients from differences of the loss where they are easy to get wrong."""
+    rng = np.random.default_rng(4)
+    label = np.array([1, 0] * 30 + [2, 3] * 8)
+    sets = [np.sort(rng.choice(12, 4, replace=False)) for _ in label]
+    for k, l in enumerate(label):
+        if l == 1:
+            sets[k] = np.union1d(sets[k], [20, 21])
+        elif l == 0:
+            sets[k] = np.union1d(sets[k], [22])
+        elif l == 2:
+            sets[k] = np.union1d(sets[k], [20])
+        else:
+            sets[k] = np.union1d(sets[k], [22])
+    size = np.array([len(x) for x in sets])
+    found, v = np.concatenate(sets).astype(np.int32), np.ones(size.sum(), np.float32)
+    model = toxicity.fit(label, size, found, v)
+    kept = np.flatnonzero(model.weights)
+    n1 = n0 = 30
+    x = np.zeros((len(label), 23))
+    for k, s in enumerate(sets):
+        x[k, s] = 1
+    p1, p0 = (x[label == 1].sum(0) + 0.5) / 31, (x[label == 0].sum(0) + 0.5) / 31
+    scale = np.abs(np.log(p1 / p0))[kept]
+    z = x[:, kept] * scale
+    y, doc, pairs = (label == 1).astype(float), label < 2, np.flatnonzero(label == 3)
+
+    def loss(w, b):
+        t = z @ w + b
+        p = 1 / (1 + np.exp(-t))
+        share = np.where(label == 1, 0.5 / n1, 0.5 / n0)[doc]
+        own = -(share * (y * np.log(p.clip(1e-15)) + (1 - y) * np.log((1 - p).clip(1e-15)))[doc]).sum()
+        return own + ((p[pairs] - p[pairs - 1]) ** 2 + 0.1 * (t[pairs] - t[pairs - 1]) ** 2).sum() / len(pairs) + 1.5e-4 * (w @ w)
+
+    w = np.zeros(len(kept) + 1)
+    m = s = np.zeros_like(w)
+    step = 1e-5 * np.eye(len(w))
+    for t in range(1, 251):
+        g = np.array([(loss((w + e)[:-1], (w + e)[-1]) - loss((w - e)[:-1], (w - e)[-1])) / 2e-5 for e in step])
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g**2
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8) * min(1, 2 - 2 * t / 250)
+    assert len(kept) >= 3 and np.allclose(model.weights[kept], w[:-1] * scale, atol=0.05 * np.abs(w).max())
+
+
 # decontamination
 ITEM = "If Alice has 12 apples and gives 5 kg of them to Bob then how many apples does Alice have left after lunch today"
 

@@ -50,6 +50,73 @@ def write_htk(vectors: np.ndarray, period: int = 100_000, kind: int = 9) -> byte
     return struct.pack(">iihh", len(vectors), period, 4 * vectors.shape[1], kind) + vectors.astype(">f4").tobytes()
 
 
+def make_wav(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
+    """A PCM WAV file (frame x channel) of 16, 24 or 32 bit; values beyond the range are cut to it. Float samples count in units of the last bit."""
+    x = np.atleast_2d(np.asarray(samples, float).T).T
+    top = 1 << (bits - 1)
+    v = np.clip(np.rint(x), -top, top - 1).astype(np.int64)
+    wide = bits // 8
+    data = v.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :wide].tobytes()
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, x.shape[1], rate, rate * x.shape[1] * wide, x.shape[1] * wide, bits, b"data", len(data))
+    return head + data
+
+
+def wav_files(samples: DataFrame, key: str, rate: int, bits: int = 16) -> DataFrame:
+    """One row per stream with its WAV file: samples (key, chan, n, x) -> (key, content). A stream is one utterance, which a file holds whole; missing
+    samples are zeros."""
+    from ..operators.batch import per_group
+
+    def run(rows: list[dict]) -> list[dict]:
+        x = np.zeros((1 + max(r["n"] for r in rows), 1 + max(r["chan"] for r in rows)))
+        for r in rows:
+            x[r["n"], r["chan"]] = r["x"]
+        return [{"content": make_wav(x, rate, bits)}]
+
+    return per_group(samples.select(key, "chan", "n", "x"), [key], run, "content binary")
+
+
+def htk_files(frames: DataFrame, key: str, period: int = 100_000, kind: int = 9) -> DataFrame:
+    """One row per stream with its HTK feature file: frames (key, n, v) -> (key, content)."""
+    from ..operators.batch import per_group
+
+    run = lambda rows: [{"content": write_htk(np.array([list(r["v"]) for r in sorted(rows, key=lambda r: r["n"])]), period, kind)}]
+    return per_group(frames.select(key, "n", "v"), [key], run, "content binary")
+
+
+def write_files(files: DataFrame, folder: str, name: str) -> None:
+    """Writes each row's `content` to folder/<column name>, from the tasks, through pyarrow's filesystems. A file is written under another name and
+    moved, so a task that runs twice leaves one whole file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow.fs import FileSystem
+
+        fs, at = FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
+        for batch in batches:
+            for n, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                part = f"{at}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(content)
+                fs.move(part, f"{at}/{n}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    files.select(F.col(name).cast("string").alias("name"), "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def read_matrix(spark: SparkSession, path: str, columns: int, big_endian: bool = False) -> DataFrame:
+    """Files of float32 matrices, row after row, as frames (path, frame_x, v); a last incomplete row is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                x = np.frombuffer(content, ">f4" if big_endian else "<f4", len(content) // (4 * columns) * columns).reshape(-1, columns).astype(float)
+                yield pa.RecordBatch.from_pydict({"path": [name] * len(x), "frame_x": pa.array(range(len(x)), pa.int64()), "v": pa.array(x.tolist(), pa.list_(pa.float64()))})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, frame_x long, v array<double>")
+
+
 def read_wav(spark: SparkSession, path: str, block: int = 16_000) -> DataFrame:
     """Samples in blocks: (path, rate, chan, first, v), `first` being the index of the block's first sample."""
 
@@ -98,3 +165,20 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def write_graph(edges: DataFrame, finals: DataFrame, path: str) -> None:
     lines = edges.select(F.concat_ws(" ", "src", "dst", "isym", "osym", "cost")).union(finals.select(F.concat_ws(" ", "state", "cost")))
     lines.toDF("value").write.text(path)
+
+
+def read_frames(stream: bool, spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Frames that others write as JSON lines into a folder, as a table or as a stream: the form in which captured or received frames come in."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(schema).json(path)
+
+
+def receive_frames(spark: SparkSession, host: str, port: int, schema: str) -> DataFrame:
+    """Frames as JSON lines from a socket: a stream for trying things out, as a socket can't be read again after a failure."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return lines.select(F.from_json("value", schema).alias("f")).select("f.*")
+
+
+def transmit_frames(stream: DataFrame, folder: str, checkpoint: str):
+    """Writes a stream's frames as JSON lines to a folder, which others read as a stream; returns the running query."""
+    return stream.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).start()

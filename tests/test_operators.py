@@ -561,3 +561,39 @@ def test_cross_spectra_equals_pairs(spark):
     rows = [(f, c, b, float(x[f, b, c].real), float(x[f, b, c].imag)) for f in range(10) for b in range(3) for c in range(2)]
     got = {(r["a"], r["b"], r["bin"]): complex(r["re"], r["im"]) for r in arrays.cross_spectra(spark.createDataFrame(rows, "frame long, chan long, bin int, re double, im double")).collect()}
     assert all(abs(got[a, b, k] - (x[:, k, a] * x[:, k, b].conj()).mean()) < 1e-12 for a in range(2) for b in range(a, 2) for k in range(3)) and len(got) == 9
+
+
+def test_files_round_trip(spark, tmp_path):
+    from frameloom.sources import audio
+
+    rows = [(u, c, n, float((n * 37 + c * 11) % 2000 - 1000)) for u in ("a", "b") for c in range(2) for n in range(50)]
+    files = audio.wav_files(spark.createDataFrame(rows, "utt string, chan int, n long, x double"), "utt", 8000, 24).withColumn("name", F.concat("utt", F.lit(".wav")))
+    audio.write_files(files, f"file://{tmp_path}/w", "name")
+    back = audio.samples(audio.read_wav(spark, f"{tmp_path}/w", 16))
+    got = {(r["path"][-5:-4], r["chan"], r["n"]): r["x"] for r in back.collect()}
+    assert got == {(u, c, n): x for u, c, n, x in rows}
+    rate, x = audio.wav(audio.make_wav(np.array([40_000.0, -40_000.0]), 16000))
+    assert rate == 16000 and x[:, 0].tolist() == [32767.0, -32768.0]
+    frames_ = spark.createDataFrame([("u", k, [float(k), 0.5]) for k in (2, 0, 1)], "utt string, n long, v array<double>")
+    audio.write_files(audio.htk_files(frames_, "utt"), f"file://{tmp_path}/h", "utt")
+    assert [r["v"] for r in audio.read_htk(spark, f"{tmp_path}/h").orderBy("frame_x").collect()] == [[0.0, 0.5], [1.0, 0.5], [2.0, 0.5]]
+    (tmp_path / "m").write_bytes(np.arange(7, dtype="<f4").tobytes())
+    assert [r["v"] for r in audio.read_matrix(spark, f"{tmp_path}/m", 3).orderBy("frame_x").collect()] == [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]]
+
+
+def test_streams_of_files(spark, tmp_path):
+    from frameloom.sources import audio
+    from frameloom.streaming import recursions
+
+    (tmp_path / "in").mkdir()
+    lines = [f'{{"key": {k % 2}, "ts": "2020-01-01T00:00:{k:02}Z", "x": {k}.0}}' for k in range(40)]
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    (tmp_path / "in" / "b.json").write_text('{"key": 9, "ts": "2020-01-01T01:00:00Z", "x": 1.0}')
+    stream = audio.read_frames(True, spark, f"{tmp_path}/in", "key long, ts timestamp, x double")
+    q = recursions.windowed_power(stream, "key", "ts", "10 seconds", "1 second").writeStream.format("memory").queryName("powers").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r["key"], r["start"].second): (r["power"], r["n"]) for r in spark.table("powers").where("key < 9").collect()}
+    for key in (0, 1):
+        for lo in range(0, 40, 10):
+            x = [k for k in range(lo, lo + 10) if k % 2 == key]
+            assert got[key, lo] == (sum(v * v for v in x) / 5, 5)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, forget, tidy
 from .graph import connected_components
 
-SUBSPACES, CODES = 16, 256
+SUBSPACES, CODES = 8, 256
 #: Slack of distance tests, far above the rounding of double precision and far below any distance that matters.
 SLACK = 1e-7
 
@@ -55,8 +55,8 @@ class Index:
         out = np.zeros((len(x), len(codes)))
         for m in range(SUBSPACES):
             table = (rest[:, m] ** 2).sum(1)[:, None] - 2 * rest[:, m] @ self.books[m].T + (self.books[m] ** 2).sum(1)
-            out += table[:, codes[:, m]]
-        return np.sqrt(np.maximum(out, 0))
+            out += np.take(table, codes[:, m], axis=1)
+        return np.sqrt(np.maximum(out, 0, out=out), out=out)
 
 
 def nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:

@@ -99,10 +99,10 @@ def _training_rows(batches: Iterator[pa.RecordBatch], swaps: Swaps = _SWAPS) ->
     """toxic 0 or 1: a labelled text; 2 and 3: a sentence and its rewriting, one after the other."""
     for batch in batches:
         for lo, hi, texts in text_slices(batch.column("text")):
-            swaps = [t for x in texts.to_pylist() for pair in counterfactuals(x, swaps) for t in pair]
-            both = pa.concat_arrays([texts, pa.array(swaps, pa.large_string())])
+            rewritten = [t for x in texts.to_pylist() for pair in counterfactuals(x, swaps) for t in pair]
+            both = pa.concat_arrays([texts, pa.array(rewritten, pa.large_string())])
             f, v = _as_bytes(*features(both), len(both))
-            kind = pa.array([*batch.column("toxic").slice(lo, hi - lo).to_pylist(), *([2, 3] * (len(swaps) // 2))], pa.int32())
+            kind = pa.array([*batch.column("toxic").slice(lo, hi - lo).to_pylist(), *([2, 3] * (len(rewritten) // 2))], pa.int32())
             yield pa.RecordBatch.from_arrays([kind, pa.array(f, pa.binary()), pa.array(v, pa.binary())], names=["toxic", "features", "values"])
 
 

@@ -152,6 +152,8 @@ def test_all_sentences_that_name_a_group_count():
     batch = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([text, "Nobody is named."])], names=["toxic", "text"])
     kinds = [k for b in toxicity._training_rows(iter([batch])) for k in b.column("toxic").to_pylist()]
     assert kinds == [0, 1] + [2, 3] * 60
+    kinds = [k for b in toxicity._training_rows(iter([batch, batch])) for k in b.column("toxic").to_pylist()]
+    assert kinds == 2 * ([0, 1] + [2, 3] * 60)
 
 
 def test_group_names_carry_no_weight(spark):

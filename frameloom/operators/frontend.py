@@ -105,3 +105,25 @@ def last_frames(df: DataFrame, key: str, frames: int = 3) -> DataFrame:
     """The `frames` last vectors up to each frame, newest first: `past`, for operators that look back."""
     w = ordered(key).rowsBetween(1 - frames, 0)
     return df.withColumn("past", F.reverse(F.collect_list("v").over(w)))
+
+
+def cepstra(samples: DataFrame, key: str, length: int = 320, shift: int = 160, fft_length: int = 512, filters: int = 30, coefficients: int = 13, rate: float = 16000.0, floor: float = 1e-5) -> DataFrame:
+    """The usual front end as one plan: pre-emphasis, frames, window, power, mel filters, log and cosine transform: (key, n, v)."""
+    from . import frames as fr
+    from . import temporal
+
+    emphasised = temporal.preemphasis(samples, key).withColumn("x", F.col("y")).select(key, "n", "x")
+    f = fr.hamming(temporal.frames(emphasised, key, length, shift).withColumnRenamed("frame_x", "n"))
+    half = fft_length // 2 + 1
+    padded = f.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), fft_length - length)))
+    mel = fr.sphinx_mel_filterbank(fr.dft_power(padded, half), filters, half, fft_length, rate)
+    return fr.cepstrum(fr.log_scale(mel, 1.0, floor=floor), coefficients, filters)
+
+
+def with_deltas(df: DataFrame, key: str, taps: tuple[float, ...] = (0.2, 0.1, 0.0, -0.1, -0.2)) -> DataFrame:
+    """v, its slope and the slope's slope, one after another."""
+    from . import temporal
+
+    first = temporal.fir(df, key, list(taps)).withColumnRenamed("v", "__d").select(key, "n", "__d")
+    second = temporal.fir(first.withColumnRenamed("__d", "v"), key, list(taps)).withColumnRenamed("v", "__dd").select(key, "n", "__dd")
+    return df.join(first, [key, "n"]).join(second, [key, "n"]).withColumn("v", F.concat("v", "__d", "__dd")).drop("__d", "__dd")

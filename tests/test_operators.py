@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import activity, adaptation, arrays, automata, beamforming, cancellation, enhancement, envelopes, filterbanks, frames, frontend, gaussians, graphs, images, lexicon, localization, metrics, temporal
+from frameloom.operators import activity, adaptation, arrays, automata, beamforming, blind, cancellation, enhancement, envelopes, filterbanks, frames, frontend, gaussians, graphs, images, lexicon, localization, metrics, temporal, tracking
 
 V = "key long, n long, v array<double>"
 RNG = np.random.default_rng(11)
@@ -597,3 +597,90 @@ def test_streams_of_files(spark, tmp_path):
         for lo in range(0, 40, 10):
             x = [k for k in range(lo, lo + 10) if k % 2 == key]
             assert got[key, lo] == (sum(v * v for v in x) / 5, 5)
+
+
+def test_fitted_beams(spark):
+    mics = np.array([[0.05 * k, 0, 0] for k in range(3)])
+    d = beamforming.manifold(beamforming.plane_wave_delays(mics, 1.0), 2, 8000.0, 4)
+    jam = beamforming.manifold(beamforming.plane_wave_delays(mics, 2.4), 2, 8000.0, 4)
+    s = noise(400, 2) * RNG.exponential(size=(400, 1)) ** 2
+    j = noise(400, 2) * RNG.exponential(size=(400, 1)) ** 2
+    x = s[..., None] * d + j[..., None] * jam + 0.01 * noise(400, 2, 3)
+    df = snapshots(spark, x[:, 1:]).withColumn("bin", F.lit(1)).withColumn("utt", F.lit("u"))
+    plain = (x[:, 1] * d[1].conj()).mean(1)
+    for criterion in ("kurtosis", "negentropy"):
+        got = blind.fitted_beam(df, d, criterion, alpha=1e-4, rounds=30).orderBy("frame").collect()
+        y = np.array([complex(r["re"], r["im"]) for r in got])
+        goal = blind.kurtosis if criterion == "kurtosis" else blind.negentropy
+        assert goal(y) > goal(plain)
+    two = blind.separated_beams(df, np.stack([d, jam]), "gauss", rounds=30).orderBy("frame").collect()
+    y = np.array([np.array(r["re"]) + 1j * np.array(r["im"]) for r in two])
+    before = np.stack([plain, (x[:, 1] * jam[1].conj()).mean(1)], 1)
+    assert blind.mutual_information(y) < 0.3 * blind.mutual_information(before)
+    alone = blind.separated_beams(snapshots(spark, (s[..., None] * d)[:, 1:]).withColumn("bin", F.lit(1)).withColumn("utt", F.lit("u")), np.stack([d, jam]), rounds=5).orderBy("frame").collect()
+    assert np.allclose([complex(r["re"][0], r["im"][0]) for r in alone], s[:, 1])  # the look direction keeps its gain, whatever the weights
+    for kind in ("laplace", "k0", "gamma"):
+        assert np.isfinite(blind.mutual_information(before, kind))
+    w = blind.null_weights(d[1:], jam[1:])
+    assert np.allclose((w.conj() * d[1:]).sum(1), 1, atol=1e-6) and np.allclose((w.conj() * jam[1:]).sum(1), 0, atol=1e-6)
+    r = x[:, 1].T @ x[:, 1].conj() / 400
+    m = np.stack([d[1], jam[1]], 1)
+    g = blind.geometric_separation(r, m)
+    off = lambda w: abs((w @ r @ w.conj().T)[0, 1])
+    assert off(g) <= off(m.conj().T / 3) and np.abs(g @ m - np.eye(2)).max() < 0.3
+    assert np.allclose(blind.descend(lambda v: ((v - [1, 2]) ** 2).sum(), np.zeros(2)), [1, 2], atol=1e-4)
+
+
+def test_tracking(spark):
+    mics = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0.5]])
+    pairs = tracking.microphone_pairs(4)
+    path = [np.array([2 + 0.01 * k, 1.5, 1.0]) for k in range(40)]
+    rows = [(1, k, tracking.pair_delays(p, mics, pairs).tolist()) for k, p in enumerate(path)]
+    rows[5] = (1, 5, [float("nan")] * 6)
+    df = spark.createDataFrame(rows, V)
+    got = tracking.track_position(df, "key", mics, np.array([1.5, 1.0, 0.8]), noise=1e-11).orderBy("n").collect()
+    assert np.abs(np.array(got[-1]["x"]) - path[-1]).max() < 0.05
+    found = tracking.locate(df.where("n <> 5"), mics, np.array([1.5, 1.0, 0.8]), 100).orderBy("n").collect()
+    assert np.abs(np.array(found[0]["x"]) - path[0]).max() < 0.02
+    f = np.array([[1.0, 1], [0, 1]])
+    line = vectors(spark, [[2.0 * k + 1] for k in range(60)])
+    last = tracking.kalman(line, "key", f, 1e-6 * np.eye(2), np.array([[1.0, 0]]), np.array([[0.1]]), np.zeros(2), 10 * np.eye(2)).orderBy(F.desc("n")).first()["x"]
+    assert abs(last[0] - 119) < 0.1 and abs(last[1] - 2) < 0.01
+
+
+def test_made_signals_and_records(spark):
+    from frameloom import functions as fn
+    from frameloom.sources import signals
+
+    read = lambda df: [r["x"] for r in df.orderBy("n").collect()]
+    assert read(signals.impulse_train(spark, 5, 2)) == [1, 0, 1, 0, 1] and read(signals.impulse(spark, 3, 1, 2.0)) == [0, 2, 0]
+    assert read(signals.triangle(spark, 4, 4)) == [-1, 0, 1, 0] and read(signals.rectangle(spark, 4, 4)) == [1, 1, -1, -1]
+    assert np.allclose(read(signals.wave(spark, 8, 1.0, 8.0)), np.sin(2 * np.pi * np.arange(8) / 8)) and read(signals.buffer(spark, [1.0, 2.0], 3)) == [1, 2, 1]
+    lines = spark.createDataFrame([("spk1 {UTTS u1 u2} {SEX f} {NAME {A B}}",), ("; no",), ("",), ("spk2 {SEX m}",)], "value string")
+    s = {r["sid"]: r for r in signals.speakers(lines).collect()}
+    assert s["spk1"]["uids"] == ["u1", "u2"] and s["spk1"]["data"]["NAME"] == ["A B"] and s["spk2"]["uids"] == []
+    utts = signals.utterances(spark.createDataFrame([("u2 {SPEAKER spk1} {FILE a.wav} {FROM 5} {TO 9}",), ("u1 {FILE b.wav}",)], "value string"))
+    both = {r["uid"]: (r["place"], r["file"], r["cfrom"], r["cto"]) for r in signals.speaker_utterances(signals.speakers(lines), utts).collect()}
+    assert both == {"u1": (0, "b.wav", 0, -1), "u2": (1, "a.wav", 5, 9)}
+    grid = 'item []:\n item [1]:\n class = "IntervalTier"\n name = "phones"\n intervals [1]:\n xmin = 0\n xmax = 0.5\n text = "a""b"\n intervals [2]:\n xmin = 0.5\n xmax = 1\n text = ""\n'
+    got = signals.text_grid(spark.createDataFrame([("p", grid)], "path string, content string")).orderBy("k").collect()
+    assert [(r["tier"], r["xmin"], r["xmax"], r["text"]) for r in got] == [("phones", 0.0, 0.5, 'a"b'), ("phones", 0.5, 1.0, "")]
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert abs(value(fn.log_sub(F.lit(1.0), F.lit(2.0))) + math.log(math.exp(-1) - math.exp(-2))) < 1e-12
+    assert all(abs(value(fn.log_factorial(F.lit(n))) - math.lgamma(n + 1)) < 1e-9 for n in (0, 3, 8, 9, 50))
+    assert value(fn.polynomial([1.0, 2.0, 3.0], F.lit(2.0))) == 17.0 and value(fn.polynomial([1.0, 2.0, 3.0], F.lit(2.0), True)) == 14.0
+    assert abs(value(fn.log_add(F.lit(1.0), F.lit(2.0))) + math.log(math.exp(-1) + math.exp(-2))) < 1e-12
+
+
+def test_front_end(spark):
+    x = RNG.normal(size=1600)
+    df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "key long, n long, x double")
+    got = np.array([r["v"] for r in frontend.cepstra(df, "key").orderBy("n").collect()])
+    y = x - 0.95 * np.concatenate([[0], x[:-1]])
+    w = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(320) / 319)
+    power = np.array([np.abs(np.fft.rfft(y[160 * k : 160 * k + 320] * w, 512)) ** 2 for k in range(9)])
+    mel = np.maximum(power @ frames.sphinx_mel_matrix(30, 257, 512, 16000.0).T, 1e-5)
+    assert np.allclose(got, np.log10(mel) @ frames.cosine_matrix(13, 30).T, atol=1e-6)
+    d = np.array([r["v"] for r in frontend.with_deltas(frontend.cepstra(df, "key"), "key").orderBy("n").collect()])
+    assert d.shape == (9, 39) and np.allclose(d[4, 13:26], sum(c * got[4 - k] for k, c in zip((-2, -1, 0, 1, 2), (0.2, 0.1, 0, -0.1, -0.2))))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity, adaptation, arrays, automata, beamforming, cancellation, enhancement, envelopes, filterbanks, frontend, gaussians, graphs, images, lexicon, localization, temporal
 from ..operators import frames as fr
+from ..sources import signals
 from .catalog import ALL, FRAMES, SAMPLES, SNAPS, W, WORDS, _snapshots, frames, long, query, r, samples, table, whole_arrays, word_graph
 
 
@@ -386,3 +387,28 @@ def _decoded(spark, d) -> DataFrame:
 query("breadth_first", f"with recursive {WORDS}, b as (select 0::bigint as state, 0 as level union select e.dst, b.level + 1 from b join e on e.src = b.state where b.level < 30) select state, cast(min(level) as double) as level from b group by state")(
     lambda spark, d: graphs.shortest(word_graph(spark, d).withColumn("cost", F.lit(1.0)), 0).select("state", F.col("cost").alias("level"))
 )
+
+
+# made signals, whose number of samples is that of the events
+
+for _name, _sql, _run in (
+    ("made_wave", "sin(n * (2 * pi() * 440 / 16000))", lambda spark, n: signals.wave(spark, n, 440.0, 16000.0)),
+    ("made_triangle", "1 - 4 * abs((n % 20) / 20.0::double - 0.5::double)", lambda spark, n: signals.triangle(spark, n, 20)),
+    ("made_rectangle", "case when (n % 20) * 2 < 20 then 1 else -1 end", lambda spark, n: signals.rectangle(spark, n, 20)),
+    ("made_impulses", "case when n % 7 = 0 then 1 else 0 end", lambda spark, n: signals.impulse_train(spark, n, 7)),
+):
+    query(_name, f"with s as (select unnest(range(count(*))) as n from events) select n, round({_sql}, 6) + 0.0 as x from s")(lambda spark, d, run=_run: run(spark, table(spark, d, "events").count()).select("n", r("x").alias("x")))
+query(
+    "running_frames",
+    f"with {FRAMES}, l as (select label, k, frame_x, lag(x) over w as before from f window w as (partition by label, k order by frame_x)) select frame_x, count(before)::integer as had, round(sum(coalesce(before, 0)), 6) + 0.0 as total from l group by frame_x",
+)(lambda spark, d: _last(spark, d))
+
+
+def _last(spark, d) -> DataFrame:
+    """The vector before each one of its label: how many values it has, and their sum."""
+    past = frontend.last_frames(frames(spark, d).withColumn("n", F.col("frame_x")), "label", 2)
+    before = F.get("past", F.lit(1))
+    return past.select("frame_x", F.coalesce(F.size(before), F.lit(0)).alias("had"), before.alias("b")).select("frame_x", F.greatest("had", F.lit(0)).alias("had"), r(F.coalesce(F.aggregate("b", F.lit(0.0), lambda s, x: s + x), F.lit(0.0))).alias("total"))
+
+
+query("cepstra")(lambda spark, d: frontend.cepstra(samples(spark, d), "key", 16, 8, 32, 8, 6).select("key", F.col("n").alias("frame_x"), F.posexplode("v").alias("k", "x")).select("key", "frame_x", "k", r("x").alias("x")))

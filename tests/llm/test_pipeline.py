@@ -1,6 +1,7 @@
 """The pipeline against its stages' own rules on a small corpus with planted cases."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -43,3 +44,26 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r["doc_id"] for r in packed} == set(kept["pii"])
     check_packing(packed, 4096)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    from .helpers import ODD
+
+    schema = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs(spark, ODD).select(*schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, "a b c"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = str(tmp_path)
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    packed = corpus_pipeline.run(spark, d).collect()
+    kept = {r["doc_id"] for r in packed}
+    assert kept == {1, 2, 3, 4, 5, 6, 7, None}  # the repeated row and the copy without an id are one document
+    assert sum(r["doc_id"] == 4 for r in packed) == 1
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table.limit(0), d)
+        assert out.count() == 0
+    extra = table
+    for name in ("key", "uid", "k", "d", "gone", "score", "row", "v", "block"):
+        extra = extra.withColumn(name, F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, extra, d).columns == extra.columns

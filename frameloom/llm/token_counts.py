@@ -46,15 +46,16 @@ class Tree:
     """Segment tree with a slot per pre-token of the text it was built from. A slot holds the (characters, tokens) of its
     pre-tokens now: one at first, more or none after edits. `sums` has characters and tokens of every subtree."""
 
-    def __init__(self, text: str, counts: Counts):
+    def __init__(self, text: str, counts: Counts, leaves: tuple[np.ndarray, np.ndarray] | None = None):
+        """Built by cutting and counting the text, or from the characters and tokens of its pre-tokens, as `stored` gave them."""
         self.text, self.counts = text, counts
-        pieces = counts.cut.findall(text)
+        pieces = counts.cut.findall(text) if leaves is None else leaves[0]
         n = len(pieces)
         self.leaves = 1 << max(0, n - 1).bit_length()
         self.sums = np.zeros((2 * self.leaves, 2), np.int64)
         if n:
-            self.sums[self.leaves : self.leaves + n, 0] = np.fromiter(map(len, pieces), np.int64, n)
-            self.sums[self.leaves : self.leaves + n, 1] = np.fromiter(map(counts.__getitem__, pieces), np.int64, n)
+            self.sums[self.leaves : self.leaves + n, 0] = np.fromiter(map(len, pieces), np.int64, n) if leaves is None else leaves[0]
+            self.sums[self.leaves : self.leaves + n, 1] = np.fromiter(map(counts.__getitem__, pieces), np.int64, n) if leaves is None else leaves[1]
         level = self.leaves
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
@@ -66,6 +67,15 @@ class Tree:
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of all pre-tokens, in order."""
+        if not self.changed:
+            held = self.sums[self.leaves :]
+            held = held[held[:, 0] > 0]
+            return held[:, 0], held[:, 1]
+        held = np.array([p for k in range(self.leaves) for p in self.slot(k)], np.int64).reshape(-1, 2)
+        return held[:, 0], held[:, 1]
+
     def slot(self, k: int) -> list[tuple[int, int]]:
         """Pre-tokens of slot k."""
         if k in self.changed:
@@ -178,6 +188,48 @@ def count_with_edits(docs: DataFrame, edits: str, tokenizer_path: str, pattern:
     return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_pretokens long, n_recounted long")
 
 
+TREES = "doc_id long, text string, sizes array<int>, tokens array<int>, n_tokens long, n_recounted long"
+
+
+def _trees(rows: DataFrame, tokenizer_path: str, pattern: str, build) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _counts(tokenizer_path, pattern)
+        for batch in batches:
+            for row in range(batch.num_rows):  # one tree at a time
+                one = batch.slice(row, 1)
+                tree = build(one, counts)
+                sizes, tokens = tree.stored()
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32))) for x in (sizes, tokens)]
+                yield pa.RecordBatch.from_arrays([one.column("doc_id"), pa.array([tree.text]), *lists, pa.array([tree.tokens]), pa.array([tree.recounted], pa.int64())], names=["doc_id", "text", "sizes", "tokens", "n_tokens", "n_recounted"])
+        counts.clear()
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(tidy(run), TREES)
+
+
+def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
+    """The leaves of each document's tree, to be stored: doc_id, text, sizes and tokens of its pre-tokens, n_tokens, n_recounted (0). A null
+    text is empty; null ids and repeated rows are rows like all others; other columns are ignored."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _trees(rows, tokenizer_path, pattern, lambda one, counts: Tree(one.column("text")[0].as_py() or "", counts))
+
+
+def edit_trees(trees: DataFrame, edits: str, tokenizer_path: str, pattern: str) -> DataFrame:
+    """Stored trees after the edits in column `edits` (array<struct<at, drop, put>>): the same columns, to be stored again. Sums are added up
+    from the stored leaves; only the pre-tokens that an edit touches are cut and encoded, and n_recounted says how many."""
+    from pyspark.sql.functions import col
+
+    def build(one: pa.RecordBatch, counts: Counts) -> Tree:
+        leaves = tuple(one.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sizes", "tokens"))
+        tree = Tree(one.column("text")[0].as_py() or "", counts, leaves)
+        for e in one.column("edits")[0].as_py() or []:
+            tree.edit(e["at"] or 0, e["drop"] or 0, e["put"] or "")
+        return tree
+
+    rows = trees.select("doc_id", "text", "sizes", "tokens", col(edits).cast("array<struct<at:long,drop:long,put:string>>").alias("edits"))
+    return _trees(rows, tokenizer_path, pattern, build)
+
+
 _COUNTS: dict[tuple[str, str], Counts] = {}
 
 
@@ -188,7 +240,7 @@ def _counts(path: str, pattern: str) -> Counts:
 
 
 def sample_edits(text):
-    """Three edits that depend on the text's length alone: a replacement, an insertion and a deletion at the end."""
+    """Four edits that depend on the text's length alone: a replacement, two insertions and a deletion."""
     n = F.length(F.coalesce(text, F.lit(""))).cast("long")
     edit = lambda at, drop, put: F.struct(at.cast("long").alias("at"), drop.cast("long").alias("drop"), F.lit(put).alias("put"))
     return F.array(edit(F.floor(n / 3), F.lit(5), "edited 42"), edit(F.floor(n * 2 / 3), F.lit(0), " it's new"), edit(n, F.lit(0), "?"), edit(F.floor(n / 2), F.lit(3), ""))

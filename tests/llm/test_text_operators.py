@@ -42,6 +42,24 @@ def test_edits_recount_little(spark):
     assert token_counts.count_with_edits(docs(spark, []).withColumn("edits", F.expr(edits)), "edits", BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_stored_trees_are_edited_again_without_encoding_anew(spark, tmp_path):
+    rows = [(1, LONG), (2, None), (3, "it's é here"), (4, "")]
+    trees = token_counts.token_trees(docs(spark, rows), BPE, public_tokenizers.PATTERN)
+    texts = {d: t or "" for d, t in rows}
+    for turn in range(3):
+        trees.write.parquet(f"{tmp_path}/{turn}")
+        trees = spark.read.parquet(f"{tmp_path}/{turn}").withColumn("e", F.expr(f"array(struct({7 * turn}L as at, 2L as drop, 'x {turn}' as put), struct(100L as at, 0L as drop, ' new' as put))"))
+        trees = token_counts.edit_trees(trees, "e", BPE, public_tokenizers.PATTERN)
+        got = {r["doc_id"]: r for r in trees.collect()}
+        for d, t in texts.items():
+            at = min(7 * turn, len(t))
+            t = t[:at] + f"x {turn}" + t[at + 2 :]
+            t = t[:100] + " new" + t[100:]
+            texts[d] = t
+            assert got[d]["text"] == t and got[d]["n_tokens"] == sum(got[d]["tokens"]) == len(COUNTS.encoding.encode_ordinary(t)) and sum(got[d]["sizes"]) == len(t)
+        assert got[1]["n_recounted"] < 40
+
+
 # personal data
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 

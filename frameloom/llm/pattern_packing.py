@@ -82,11 +82,11 @@ def patterns(units: int, most: int = 3) -> np.ndarray:
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """x >= 0 with a.T @ x close to b in least squares (a: pattern x length), by active sets (Lawson and Hanson, 1974): at most as
     many patterns as there are lengths are used, so their counts are large and little is lost when they are rounded. It ends after
-    `rounds` steps, one for each length by default, with a fit that is not the best yet but good to round."""
+    `rounds` steps, one for each length and 128 at most by default, with a fit that is not the best yet but good to round."""
     x, active = np.zeros(a.shape[0]), []
     rest = b.astype(float)
     least = 1e-9 * max(np.abs(b).max(initial=0), 1e-300)
-    for _ in range(rounds or a.shape[1]):
+    for _ in range(rounds or min(a.shape[1], 128)):
         pull = a @ rest
         pull[active] = -np.inf
         k = int(pull.argmax())
@@ -121,13 +121,24 @@ class _Run:
         self.room, self.count, self.was, self.put = room, count, was, put
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 64, sand: int = 128, most: int = 6) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+Plan = tuple[list[tuple[int, int, int, int, int, int]], int]
+
+
+def plan(histogram: dict[int, int], capacity: int = 4096, unit: int | None = None, sand: int = 128, most: int = 6) -> Plan:
     """Runs (length, first rank, last rank + 1, first sequence, pieces a sequence, offset) that place every piece once, and the number of sequences.
 
     Lengths are rounded up to `unit` (or, if that doesn't divide the capacity, the next smaller divisor) and fitted by patterns of up to
-    `most` pieces, whose counts are rounded to the nearest; lengths of up to `sand` and all that
-    rounding leaves over are packed largest first into the fullest sequence with room, those of the patterns included.
+    `most` pieces, whose counts are rounded to the nearest; lengths of up to `sand` and all that rounding leaves over are packed largest
+    first into the fullest sequence with room, those of the patterns included. Coarse units allow patterns of many pieces, fine ones waste
+    less room: without a unit, plans with 64, 128 and 256 units are made, and the one with the fewest sequences counts.
     """
+    if unit:
+        return _planned(histogram, capacity, unit, sand, most)
+    plans = [_planned(histogram, capacity, max(1, capacity // units), sand, most) for units in (64, 128, 256)]
+    return min(plans, key=lambda p: p[1])
+
+
+def _planned(histogram: dict[int, int], capacity: int, unit: int, sand: int, most: int) -> Plan:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n

@@ -56,6 +56,16 @@ def test_filters_reach_the_reader(spark, tmp_path):
     assert [type(f) for f in left] == [GreaterThan] and len(reader.tests) == 2
 
 
+def test_header_names_in_any_case():
+    import pyarrow as pa
+
+    block = b"hello"
+    record = b"WARC/1.0\r\nwarc-type: resource\r\nWarc-Record-Id: <urn:x>\r\ncontent-LENGTH: 5\r\n\r\n" + block + b"\r\n\r\n"
+    for data in (record * 2, gzip.compress(record) * 2):
+        got = list(warc.records(pa.BufferReader(data), lambda fields: fields["WARC-Type"] == "resource", True))
+        assert [(f["WARC-Record-ID"], f["Content-Length"], b) for f, b in got] == [("<urn:x>", "5", b"hello")] * 2
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_plain_and_foreign_archives(spark, tmp_path, packed):
     """Uncompressed records, and members without skip lengths, are read as well."""

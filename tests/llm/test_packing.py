@@ -134,3 +134,25 @@ def test_binary_files_round_trip(spark, tmp_path):
     ids = {(r["doc_id"], r["piece"]): np.frombuffer(r["ids"], "<u2").tolist() for r in whole.where("doc_id >= 100").collect()}
     assert ids[149, 0] == [*TOKENIZER.encode("some words " * 49, add_special_tokens=False).ids, 49407]
     assert token_output.token_output(docs(spark, []), f"file://{tmp_path}/none", PATH).count() == 0
+
+
+def test_ids_that_do_not_fit_raise(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(Exception, match="doesn't fit into 1 bytes"):
+        token_output.write_packed(docs(spark, [(1, "some words of a text")]), f"file://{tmp_path}/p", PATH, id_bytes=1)
+
+
+def test_tokenizers_that_keep_case_take_the_plain_way(tmp_path):
+    """A hand-made vocabulary (nothing is trained): letters of either case and a few merges, no normaliser."""
+    from tokenizers import models, pre_tokenizers
+
+    letters = "abcdeABCDE.,"
+    vocab = {x: k for k, x in enumerate([*letters, *(f"{x}</w>" for x in letters), "ab", "AB", "ab</w>", "[U]"])}
+    made = Tokenizer(models.BPE(vocab=vocab, merges=[("a", "b"), ("A", "B"), ("a", "b</w>")], end_of_word_suffix="</w>", unk_token="[U]"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(f"{tmp_path}/cased.json")
+    texts = ["ab AB aB, dab. cab", "ABAB abab", "", "Ab, cd."]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [ids.tolist() for _, ids in documents_of_ids(f"{tmp_path}/cased.json", batch, "text", 1)]
+    assert got == [[*e.ids, 1] for e in made.encode_batch(texts, add_special_tokens=False)]

@@ -83,8 +83,8 @@ query(
     f"with recursive {FRAMES}, o as (select *, row_number() over (partition by label, k order by frame_x) - 1 as n from f), m as (select label, k, n, frame_x, x, 0.02::double * x as m from o where n = 0 union all select o.label, o.k, o.n, o.frame_x, o.x, 0.98::double * m.m + 0.02::double * o.x from m join o on o.label = m.label and o.k = m.k and o.n = m.n + 1 where o.n < 500) select frame_x, k, round(x - m, 6) + 0.0 as y from m",
 )(lambda spark, d: long(frontend.subtract_running_mean(frames(spark, d).withColumn("n", F.col("frame_x")), "label", keep=["frame_x"])))
 query("delayed", f"with {SAMPLES} select key, n, round(coalesce(lag(x, 3) {W}, 0), 6) + 0.0 as y from s")(lambda spark, d: frontend.delay(samples(spark, d), "key", 3).select("key", "n", r("y").alias("y")))
-query("segment_cut", f"with {SAMPLES}, z as (select key, n, x - avg(x) {ALL} as z from s) select key, n - 5 as n, round(z, 6) + 0.0 as x from z where n between 5 and 25")(
-    lambda spark, d: frontend.cut(samples(spark, d), "key", 5, 25, zero_mean=True).select("key", "n", r("x").alias("x"))
+query("segment_cut", f"with {SAMPLES}, z as (select key, n, x - avg(x) {ALL} as z from s) select key, n - 5 as n, round(z, 9) + 0.0 as x from z where n between 5 and 25")(
+    lambda spark, d: frontend.cut(samples(spark, d), "key", 5, 25, zero_mean=True).select("key", "n", r("x", 9).alias("x"))
 )
 query(
     "resampled",

@@ -127,7 +127,7 @@ class _Analysis:
         x = np.concatenate([self.buffer, rows["x"]])
         ends = np.arange(len(self.h) + self.due, len(x), self.shift) + 1
         seen = x[ends[:, None] - 1 - np.arange(len(self.h))] if len(ends) else np.zeros((0, len(self.h)))
-        folded = (seen * self.h).reshape(len(ends), -1, self.bands).sum(1)
+        folded = (seen * self.h).reshape(len(ends), len(self.h) // self.bands, self.bands).sum(1)
         # the newest sample of a frame has the phase of its place in the stream
         z = np.fft.ifft(folded, axis=1) * self.bands
         z = z * np.exp(-2j * np.pi * np.outer((self.frame + np.arange(len(ends))) * self.shift % self.bands, np.arange(self.bands)) / self.bands)

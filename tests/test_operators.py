@@ -95,6 +95,23 @@ def test_running_mean_and_flags(spark):
         assert np.allclose(got[k], (v - mean) / np.sqrt(np.maximum(var, 1e-4)))
 
 
+def test_bank_takes_batches_without_a_frame(spark):
+    x = np.random.default_rng(1).normal(size=200)
+    df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "key long, n long, x double")
+    h = filterbanks.low_pass_prototype(32, 1 / 16)
+    g = filterbanks.synthesis_prototype(h, 8, 4)
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(records)
+    for size in (1, 3, 7):  # fewer samples than the shift, and not a multiple of it
+        spark.conf.set(records, size)
+        try:
+            back = filterbanks.synthesis(filterbanks.analysis(df, "key", h, 8, 4), "key", g, 8, 4).orderBy("n").collect()
+        finally:
+            spark.conf.set(records, before)
+        y = np.array([r["x"] for r in back])[31:]
+        assert len(y) == 200 - 31 and np.abs(y - x[: len(y)]).max() < 1e-6
+
+
 def test_banks_give_back_their_input(spark):
     x = RNG.normal(size=600)
     df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "key long, n long, x double")

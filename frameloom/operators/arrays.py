@@ -8,14 +8,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batch import scan, sums
-from .frames import fft
+from .batch import scan, sums, vectors
 
 
 def spectra(frames: DataFrame, keys: list[str], bins: int, length: int) -> DataFrame:
-    """Discrete Fourier transform of frames `v` (cut or filled to `length`) as long rows (keys, bin, re, im) of the first `bins` bins."""
-    z = fft(frames.select(*keys, "v"), length)
-    z = z.select(*keys, F.posexplode(F.arrays_zip(F.slice("re", 1, bins).alias("re"), F.slice("im", 1, bins).alias("im"))).alias("bin", "z"))
+    """Discrete Fourier transform of frames `v` (cut or filled to `length`) as long rows (keys, bin, re, im) of the first `bins` bins.
+
+    Parts within the rounding of the frame's sum are 0, so that a bin without power has none, rather than the phase of an error."""
+
+    def run(x: np.ndarray) -> dict:
+        x = x[:, :length].astype(float)
+        z = np.fft.fft(x, length, axis=1)[:, :bins]
+        error = np.finfo(float).eps * (1 + math.log2(length)) * np.abs(x).sum(1, keepdims=True)
+        return {"re": np.where(np.abs(z.real) < error, 0.0, z.real), "im": np.where(np.abs(z.imag) < error, 0.0, z.imag)}
+
+    z = frames.select(*keys, vectors(run, "re array<double>, im array<double>", "v").alias("z"))
+    z = z.select(*keys, F.posexplode(F.arrays_zip(F.col("z.re").alias("re"), F.col("z.im").alias("im"))).alias("bin", "z"))
     return z.select(*keys, "bin", "z.re", "z.im")
 
 

@@ -280,6 +280,18 @@ def test_echo_and_reverberation(spark):
     assert np.abs(e[-1]["e"]).max() < 0.01 * np.abs(e[0]["e"]).max()
 
 
+def test_bins_without_power_stay_without_phase(spark):
+    cents = np.random.default_rng(3).integers(1, 20000, (300, 16))
+    rest = cents[:, ::2].sum(1) - cents[:, 1::2].sum(1)
+    cents[np.arange(300), np.where(rest < 0, 0, 1)] += np.abs(rest)  # no power in bin 8, but for the rounding of cents
+    frames_ = spark.createDataFrame([(0, k, v) for k, v in enumerate((cents / 100).tolist())], "chan long, frame long, v array<double>")
+    z = arrays.spectra(frames_, ["chan", "frame"], 9, 16)
+    want = np.fft.rfft(cents / 100, axis=1)
+    assert all(abs(r["re"] + 1j * r["im"] - want[r["frame"], r["bin"]]) < 1e-9 for r in z.collect())
+    quiet = enhancement.spectral_subtraction(z, enhancement.average_noise(z), 0.5).where("bin = 8").collect()
+    assert len(quiet) == 300 and all((r["re"], r["im"]) == (0.001**0.5, 0.0) for r in quiet)
+
+
 def test_post_filters(spark):
     s = noise(30, 3)
     same = snapshots(spark, np.repeat(s[..., None], 3, 2))

@@ -95,6 +95,16 @@ def test_running_mean_and_flags(spark):
         assert np.allclose(got[k], (v - mean) / np.sqrt(np.maximum(var, 1e-4)))
 
 
+def test_running_mean_goes_on_after_its_weight_changes(spark):
+    x = np.random.default_rng(2).normal(size=(1200, 2))
+    got = np.array([r["v"] for r in frontend.subtract_running_mean(vectors(spark, x), "key").orderBy("n").collect()])
+    mean, want = np.zeros(2), []
+    for k, v in enumerate(x):
+        mean = 0.98 * mean + 0.02 * v if k < 500 else 0.995 * mean + 0.005 * v
+        want.append(v - mean)
+    assert got.shape == (1200, 2) and np.allclose(got, want)
+
+
 def test_bank_takes_batches_without_a_frame(spark):
     x = np.random.default_rng(1).normal(size=200)
     df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "key long, n long, x double")
